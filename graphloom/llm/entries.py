@@ -81,10 +81,10 @@ ORACLES = {
 ), spread AS (
   SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY dice, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM ranked
 ), placed AS (
-  SELECT *, row_number() OVER (ORDER BY fraction, stratum, dice, doc_id, text_crc32, size) - 1 AS at, count(*) OVER () AS n FROM spread
+  SELECT *, row_number() OVER (ORDER BY fraction, stratum, dice, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM spread
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(at * 24 // n AS INTEGER) AS shard,
-  CAST(at - (at * 24 // n * n + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed""",
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(pos * 24 // n AS INTEGER) AS shard,
+  CAST(pos - (pos * 24 // n * n + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed""",
     "op3_benchmark_containment": f"""
 WITH items AS (SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark), docs AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
 i AS (SELECT item_id, unnest({_SHINGLES}) AS s FROM items), d AS (SELECT doc_id, unnest({_SHINGLES}) AS s FROM docs),

@@ -57,7 +57,7 @@ def _targets(cells: DataFrame, axis: str, given: dict[str, float] | None, temper
     return sums.crossJoin(F.broadcast(sums.agg(F.sum("t").alias("all")))).select(axis, (F.col("t") / F.col("all")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], temper: float = 0.7, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], temper: float = 0.7, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
     """cells (source, lang, topic, tokens) with ``weight``: shares with the target marginals."""
     now = cells.where("tokens > 0").withColumn("weight", F.col("tokens").cast("double"))
     shares = {axis: materialize(_targets(now, axis, targets.get(axis), temper), "targets") for axis in AXES}

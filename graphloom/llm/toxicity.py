@@ -3,8 +3,8 @@
 Features are hashed terms (2^20 dims): the words of a text in lower case, and their prefixes
 of 4 to 8 letters; the value is log(1 + occurrences). Those are used whose presence is
 associated with the toxic label beyond ``Z_LEAST`` standard errors, ``FEATURES`` at most.
-Grades are 0 for documents that are not labelled toxic and 1, 2 or 3 for toxic ones, by how often
-they use the one of those terms that they use most (below 3, below 6, more). The model is
+Grades are 0 for documents that are not labelled toxic and 1, 2 or 3 for toxic ones, by how many of
+their words have such a term (below 3, below 6, more). The model is
 P(grade <= k) = sigmoid(threshold k - w x), with one weight vector for all thresholds; it outputs the
 expected grade and rejects a document if P(grade >= 1) > 1/2.
 
@@ -42,18 +42,23 @@ def _dims(word: str) -> tuple[int, ...]:
 
 
 def _counts(text: str | None, known: dict[str, tuple[int, ...]], of) -> dict[int, int]:
-    """Occurrences of each feature; known keeps what words give."""
+    """Occurrences of each feature, and of words with any under -1; known keeps what words give."""
     out: dict[int, int] = {}
     if not text:
         return out
+    hits = 0
     for word in text.lower().split():
         hit = known.get(word)
         if hit is None:
             if len(known) >= _CACHE:
                 known.clear()
             hit = known[word] = of(word)
-        for d in hit:
-            out[d] = out.get(d, 0) + 1
+        if hit:
+            hits += 1
+            for d in hit:
+                out[d] = out.get(d, 0) + 1
+    if hits:
+        out[-1] = hits
     return out
 
 
@@ -116,7 +121,9 @@ def _association(batches):
     known: dict = {}
     for batch in batches:
         for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            hit = np.fromiter(_counts(text, known, _dims), np.int64)
+            found = _counts(text, known, _dims)
+            found.pop(-1, None)
+            hit = np.fromiter(found, np.int64)
             total[int(toxic > 0), hit] += 1
             n[int(toxic > 0)] += 1
     if sum(n):
@@ -155,17 +162,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         of = lambda w: tuple(number[d] for d in _dims(w) if d in number)
         for batch in batches:
             found = [_counts(t, known, of) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["toxic", "at", "times"])
+            hits = pa.array([f.pop(-1, 0) for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), hits, pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["toxic", "hits", "at", "times"])
 
-    got = rows.mapInArrow(vectors, "toxic long, at array<int>, times array<int>").toArrow()
+    got = rows.mapInArrow(vectors, "toxic long, hits long, at array<int>, times array<int>").toArrow()
     x = np.zeros((got.num_rows, len(dims)), np.float32)
-    most = np.zeros(got.num_rows, np.int64)
     for i, (at, times) in enumerate(zip(got.column("at").to_pylist(), got.column("times").to_pylist())):
         if at:
             x[i, at] = np.log1p(times)
-            most[i] = max(times)
     toxic = got.column("toxic").to_numpy() > 0
-    grade = np.where(toxic, 1 + np.searchsorted(GRADES, most, side="right"), 0)
+    grade = np.where(toxic, 1 + np.searchsorted(GRADES, got.column("hits").to_numpy(), side="right"), 0)
     # In an order of its own, so that the fit does not depend on the tasks'.
     order = np.lexsort((x.sum(axis=1), grade))
     weights, thresholds = fit_ordinal(x[order].astype(float), grade[order], len(GRADES) + 2)
@@ -185,7 +191,7 @@ def _scorer(model: Model | None):
         s = np.zeros(len(texts))
         for i, t in enumerate(texts):
             found = _counts(t, known, of)
-            if found:
+            if found.pop(-1, 0):
                 s[i] = model.weights[list(found)] @ np.log1p(list(found.values()))
         p = grade_probabilities(s, model.thresholds)
         return p @ np.arange(p.shape[1]), p.argmax(axis=1).astype(np.int32), 1 - p[:, 0]
