@@ -33,7 +33,7 @@ from .substring import _repeated
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start: long, end: long>>, kept_sha256 string"
 ANCHOR = 40
-_BYTES_EACH = 3 << 20
+_BYTES_EACH = 3 << 19
 _OUT = cs.empty_like(SCHEMA).schema
 
 
@@ -60,7 +60,7 @@ class _Windows:
             starts.append(s + lo)
             anchors.append(at[s] + lo)
             first = np.flatnonzero(np.diff(at[s], prepend=-1))
-            keys.append(g[at[s[first]]])
+            keys.append(tk.mix(g[at[s[first]]]))  # minima are small: mixed again, keys are even
         z = np.zeros(0, np.int64)
         self.starts = np.concatenate(starts) if starts else z
         anchor = np.concatenate(anchors) if anchors else z
@@ -129,66 +129,74 @@ def _read(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, byte
     return sizes, times, where, raw[8 + 8 * (2 * n + m) :]
 
 
-def suffix_array(text: np.ndarray, room: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+def suffix_array(text: np.ndarray, room: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Order of all suffixes of text by their first ``depth`` bytes at most, and for each pair of
-    neighbours the length of the common prefix, up to depth. room: bytes from each position to the
-    end of its own string; prefixes don't go beyond it. Ranks are doubled: 8, 16, 32, ... bytes."""
+    neighbours the length of the common prefix, up to depth (below ``least``: 0). room: bytes from each
+    position to the end of its own string; prefixes don't go beyond it. Ranks are doubled: 8, 16,
+    32, ... bytes; suffixes that are alone with their rank are not sorted again."""
     n = len(text)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     wide = np.zeros(n + depth + 8, np.uint8)
     wide[:n] = text
     key = np.zeros(n, np.uint64)
     for k in range(8):
-        inside = room > k
-        key = (key << np.uint64(8)) | np.where(inside, wide[k : k + n], 0).astype(np.uint64)
+        key <<= np.uint64(8)
+        key |= np.where(room > k, wide[k : k + n], np.uint8(0))
     # A string's end sorts before any byte: NUL bytes and ends are told apart by the room.
-    ranks, size = [], 8
-    rank = _rank_pairs(key, np.minimum(room, 8).astype(np.uint64))
-    ranks.append((size, rank))
+    rank = _refined(np.zeros(n, np.uint32), np.arange(n), key)
+    tied = _tied(rank)
+    rank = _refined(rank, tied, np.minimum(room[tied], 8).astype(np.uint64))
+    ranks, size = [(8, rank)], 8
     while size < depth:
         step = min(size, depth - size)
-        nxt = np.zeros(n, np.uint64)
-        inside = np.flatnonzero(room > step)
-        inside = inside[inside + step < n]
-        nxt[inside] = rank[inside + step] + np.uint64(1)
-        rank = _rank((rank << np.uint64(32)) | nxt)
+        tied = _tied(rank)
+        nxt = np.zeros(len(tied), np.uint64)
+        inside = room[tied] > step
+        nxt[inside] = rank[tied[inside] + step] + np.uint64(1)
+        rank = _refined(rank, tied, nxt)
         size += step
         ranks.append((size, rank))
     order = np.argsort(rank, kind="stable")
     lcp = np.zeros(n, np.int64)
-    a, b = order[:-1].copy(), order[1:].copy()
-    total = np.zeros(n - 1 if n else 0, np.int64)
-    done = rank[a] == rank[b] if n else np.zeros(0, bool)
-    total[done] = depth
-    live = np.flatnonzero(~done)
+    a, b = order[:-1], order[1:]
+    near = next((r for size, r in reversed(ranks) if size <= least), None)
+    pair = np.arange(n - 1) if near is None else np.flatnonzero((near[a] == near[b]) & (np.minimum(room[a], room[b]) >= least))
+    a, b = a[pair], b[pair]
+    most = np.minimum(room[a], room[b]).astype(np.int64)
+    total = np.where(rank[a] == rank[b], depth, 0)
+    live = np.flatnonzero(total == 0)
     for size, r in reversed(ranks[:-1]):
-        x, y = a[live] + total[live], b[live] + total[live]
-        ok = (x < n) & (y < n)
-        same = np.zeros(len(live), bool)
-        same[ok] = (r[x[ok]] == r[y[ok]]) & (room[a[live[ok]]] >= total[live[ok]] + size) & (room[b[live[ok]]] >= total[live[ok]] + size)
-        total[live[same]] += size
+        t = total[live]
+        ok = most[live] >= t + size
+        at = live[ok]
+        total[at[r[a[at] + t[ok]] == r[b[at] + t[ok]]]] += size
     for _ in range(7):
-        if not len(live):
-            break
-        x, y = a[live] + total[live], b[live] + total[live]
-        ok = (room[a[live]] > total[live]) & (room[b[live]] > total[live])
-        ok[ok] = wide[x[ok]] == wide[y[ok]]
-        live = live[ok]
+        live = live[most[live] > total[live]]
+        live = live[wide[a[live] + total[live]] == wide[b[live] + total[live]]]
         total[live] += 1
-    total = np.minimum(total, np.minimum(room[a], room[b]))
-    lcp[1:] = total
+    total = np.minimum(total, most)
+    lcp[pair + 1] = np.where(total >= least, total, 0)
     return order, lcp
 
 
-def _rank(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key)
-    ordered = key[order]
-    out = np.empty(len(key), np.uint64)
-    out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]])) if len(key) else 0
-    return out
+def _tied(rank: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.bincount(rank, minlength=len(rank))[rank] > 1)
 
 
-def _rank_pairs(key: np.ndarray, minor: np.ndarray) -> np.ndarray:
-    return _rank((_rank(key) << np.uint64(4)) | minor)
+def _refined(rank: np.ndarray, tied: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Ranks (the number of smaller suffixes) once those of ``tied`` that are equal are told apart by key."""
+    old = rank[tied]
+    # The first keys, of eight bytes, come while no ranks are known; all others are ranks.
+    order = np.argsort((old.astype(np.uint64) << np.uint64(32)) | key if old.any() else key)
+    old, key = old[order], key[order]
+    at = np.arange(len(order))
+    head = np.concatenate([[True], old[1:] != old[:-1]]) if len(order) else np.zeros(0, bool)
+    new = head.copy()
+    new[1:] |= key[1:] != key[:-1]
+    out = rank.copy()
+    out[tied[order]] = old + (np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(head, at, 0))).astype(np.uint32)
+    return out
 
 
 def intervals(order: np.ndarray, lcp: np.ndarray, least: int, left: np.ndarray) -> list[tuple[int, int, int]]:
@@ -222,11 +230,11 @@ def repeat_groups(strings: list[bytes], times: np.ndarray, least: int) -> tuple[
     sizes = np.array([len(x) for x in strings], np.int64)
     ends = np.cumsum(sizes)
     text = np.frombuffer(b"".join(strings), np.uint8)
-    room = np.repeat(ends, sizes) - np.arange(len(text))
-    left = np.full(len(text), -1, np.int64)
+    room = (np.repeat(ends, sizes) - np.arange(len(text))).astype(np.int32)
+    left = np.full(len(text), -1, np.int16)
     left[1:] = text[:-1]
     left[ends - sizes] = -1
-    order, lcp = suffix_array(text, room, int(sizes.max()))
+    order, lcp = suffix_array(text, room, int(sizes.max()), least)
     found = intervals(order, lcp, least, left)
     number = np.repeat(np.arange(len(found)), [j - i for _, i, j in found]) if found else np.zeros(0, np.int64)
     at = np.concatenate([order[i:j] for _, i, j in found]) if found else np.zeros(0, np.int64)
