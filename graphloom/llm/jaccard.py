@@ -9,8 +9,8 @@ entries that the sizes or positions rule out do not count; candidates are verifi
 
 Whole results under skew:
 - documents with equal sets are one node (their representative), joined by their set's digest;
-- entries of one shingle with up to ``RUN`` documents are paired; of longer runs each
-  document is first paired with the smallest one of about its size, only;
+- entries of one shingle with up to ``RUN`` documents are paired; of longer runs each document
+  is first paired with one of about its size only, that which is in most long runs;
 - once those links are verified and components known, all pairs of a long run that are still in
   different components and that sizes and positions allow are verified as well. Pairs within a
   component are left out: they can't change it.
@@ -45,6 +45,8 @@ _MOST = 6
 _VERIFY = 40.0
 _DOC = "gid long, doc_id long, n long, sig1 long, sig2 long, blob binary"
 _BLOCK = 1 << 20
+#: Prefix entries that a task sorts at once.
+ENTRIES_EACH = 1_200_000
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -156,7 +158,8 @@ def _prefixes(k: int, percent: int, codes, mean: float, parts: int):
                     chance = np.cumsum(guess[order[: shortest + most - 1]])[shortest - 1 :]
                     need = int(np.argmin(cost + _VERIFY * chance / np.arange(1, most + 1))) + 1
                     m = shortest + need - 1
-                    for c, v in zip(columns, (s[order[:m]], np.full(m, gid, np.int64), np.full(m, n, np.uint32), np.arange(m, dtype=np.uint32), np.full(m, need, np.uint8))):
+                    # Prefixes hold small hashes: mixed again they spread evenly over partitions.
+                    for c, v in zip(columns, (tk.mix(s[order[:m]]), np.full(m, gid, np.int64), np.full(m, n, np.uint32), np.arange(m, dtype=np.uint32), np.full(m, need, np.uint8))):
                         c.append(v)
                 if not columns[0]:
                     continue
@@ -214,13 +217,18 @@ def _candidates(percent: int):
                 pairs.append((np.minimum(gid[x], gid[y]), np.maximum(gid[x], gid[y]), low, np.zeros(len(x), bool)))
         long = np.flatnonzero(np.repeat(size > RUN, size))
         if len(long):
-            # In each long run: to the smallest one of about the same size.
-            about = np.floor(np.log(n[long]) / np.log(1.15)).astype(np.int64)
-            head = np.concatenate([[True], (token[long][1:] != token[long][:-1]) | (about[1:] != about[:-1])])
-            centre = gid[long][np.maximum.accumulate(np.where(head, np.arange(len(long)), 0))]
-            x, y = np.minimum(centre, gid[long]), np.maximum(centre, gid[long])
-            ok = x != y
-            pairs.append((x[ok], y[ok], np.zeros(ok.sum(), np.int64), np.ones(ok.sum(), bool)))
+            # Each to the one of about its size that is in most long runs here: an original shares
+            # shingles with all its copies, which the copies' own changes don't.
+            which, number, often = np.unique(gid[long], return_inverse=True, return_counts=True)
+            for shift in (0.0, 0.5):
+                about = np.floor(np.log(n[long]) / np.log(1.15) + shift).astype(np.int64)
+                order = np.lexsort((gid[long], -often[number], about, token[long]))
+                there = long[order]
+                head = np.concatenate([[True], (token[there][1:] != token[there][:-1]) | (about[order][1:] != about[order][:-1])])
+                centre = gid[there][np.maximum.accumulate(np.where(head, np.arange(len(there)), 0))]
+                x, y = np.minimum(centre, gid[there]), np.maximum(centre, gid[there])
+                ok = x != y
+                pairs.append((x[ok], y[ok], np.zeros(ok.sum(), np.int64), np.ones(ok.sum(), bool)))
         tables = []
         if pairs:
             a, b, low, star = (np.concatenate(c) for c in zip(*pairs))
@@ -238,24 +246,35 @@ def _candidates(percent: int):
 
 
 def _crossing(percent: int):
-    """Pairs of one shingle's documents in different components that may link."""
+    """Pairs of a shingle's documents in different components that may link; each once a group."""
 
-    def run(group: pa.Table) -> pa.Table:
-        gid, at, need, n, root = (group.column(c).to_numpy() for c in ("b", "shared", "need", "n", "root"))
-        order = np.argsort(n, kind="stable")
-        gid, at, need, n, root = (c[order] for c in (gid, at, need, n, root))
+    def pairs(gid, at, need, n, root):
         until = np.searchsorted(n * percent, 100 * n, side="right")
-        out_a, out_b = [], []
         for lo in range(0, len(gid), 512):
             hi = min(lo + 512, len(gid))
-            for c in range(lo, int(until[lo:hi].max()), 1 << 14):
-                d = min(c + (1 << 14), int(until[lo:hi].max()))
+            end = int(until[lo:hi].max())
+            for c in range(lo, end, 1 << 13):
+                d = min(c + (1 << 13), end)
                 x, y = np.nonzero((root[lo:hi, None] != root[None, c:d]) & (np.arange(lo, hi)[:, None] < np.arange(c, d)[None, :]))
                 x, y = x + lo, y + c
                 ok = possible(n[x], n[y], at[x], at[y], np.minimum(need[x], need[y]), percent)
-                out_a.append(np.minimum(gid[x[ok]], gid[y[ok]]))
-                out_b.append(np.maximum(gid[x[ok]], gid[y[ok]]))
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
+                yield np.minimum(gid[x[ok]], gid[y[ok]]), np.maximum(gid[x[ok]], gid[y[ok]])
+
+    def run(group: pa.Table) -> pa.Table:
+        token, gid, at, need, n, root = (group.column(c).to_numpy() for c in ("a", "b", "shared", "need", "n", "root"))
+        order = np.lexsort((n, token))
+        token, gid, at, need, n, root = (c[order] for c in (token, gid, at, need, n, root))
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        found = np.zeros((0, 2), np.int64)
+        held, size = [], 0
+        for i, j in zip(first[:-1], first[1:]):
+            for a, b in pairs(gid[i:j], at[i:j], need[i:j], n[i:j], root[i:j]):
+                held.append(np.stack([a, b], axis=1))
+                size += len(a)
+            if size > 1 << 20 or j == len(token):
+                found = np.unique(np.concatenate([found, *held]), axis=0)
+                held, size = [], 0
+        return pa.table({"a": pa.array(found[:, 0].copy()), "b": pa.array(found[:, 1].copy())})
 
     return run
 
@@ -305,7 +324,7 @@ def _solve(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str, re
     alone = texts.join(nodes.select(F.col("node").alias("gid")), "gid", "left_semi").select("gid", "blob")
 
     codes, mean = _sketch(alone, k)
-    parts = max(1, int(np.ceil(mean * (1 << BITS) * 0.27 / (1 << 21))))
+    parts = max(1, int(np.ceil(mean * (1 << BITS) * 0.27 / ENTRIES_EACH)))
     sent = spark.sparkContext.broadcast(codes)  # 2 MB, whatever the input
     entries = alone.mapInArrow(_prefixes(k, percent, sent, mean, parts), cs.ASK_SCHEMA)
     found = materialize(entries.groupBy("pid").applyInArrow(_candidates(percent), _FOUND), "candidates")
@@ -315,7 +334,7 @@ def _solve(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str, re
     roots = components(links)
     runs = found.where("long_run").join(roots.select(F.col("u").alias("b"), F.col("v").alias("root")), "b", "left").withColumn("root", F.coalesce("root", "b"))
     mixed = runs.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
-    crossing = materialize(runs.join(mixed, "a", "left_semi").groupBy("a").applyInArrow(_crossing(percent), "a long, b long").distinct(), "crossing")
+    crossing = materialize(runs.join(mixed, "a", "left_semi").withColumn("part", F.pmod("a", F.lit(parts))).groupBy("part").applyInArrow(_crossing(percent), "a long, b long").distinct(), "crossing")
     if not crossing.isEmpty():
         more = materialize(_verified(crossing, texts, k, percent), "links")
         if not more.isEmpty():
