@@ -56,9 +56,14 @@ class _Text:
         return windows, tk.minima(g, width - length + 1)[windows], g
 
 
+def _even(minima: np.ndarray) -> np.ndarray:
+    """Minima are small values: mixed again they spread evenly over partitions."""
+    return tk.mix(minima)
+
+
 def _ask(text: _Text, alive: np.ndarray, length: int, width: int, parts: int) -> list[tuple]:
     _, part, g = text.questions(alive, length, width)
-    keys, counts = np.unique(g[np.unique(part)], return_counts=True)
+    keys, counts = np.unique(_even(g[np.unique(part)]), return_counts=True)
     state = np.packbits(alive).tobytes()
     number = text.chunk.number
     # The state travels beside the questions: nothing is computed twice.
@@ -73,7 +78,7 @@ def _resolve(text: _Text, back: dict, length: int, width: int) -> np.ndarray:
         return alive
     windows, part, g = text.questions(alive, length, width)
     at, which = np.unique(part, return_inverse=True)
-    keys, of = np.unique(g[at], return_inverse=True)
+    keys, of = np.unique(_even(g[at]), return_inverse=True)
     bits = np.concatenate([np.unpackbits(np.frombuffer(cs.inflate(back[p][8:]), np.uint8), count=int.from_bytes(back[p][:8], "little")) for p in sorted(k for k in back if k >= 0)])
     assert len(bits) == len(keys)
     alive[windows] = bits[of][which].astype(bool)
