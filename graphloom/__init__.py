@@ -1,0 +1 @@
+"""RDF graphs and SPARQL 1.1 on Spark DataFrames."""
