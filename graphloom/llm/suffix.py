@@ -130,8 +130,9 @@ def _read(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, byte
 
 
 def suffix_array(text: np.ndarray, room: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Order of all suffixes of text by their first ``depth`` bytes at most, and for each pair of
-    neighbours the length of the common prefix, up to depth (below ``least``: 0). room: bytes from each
+    """Order of the suffixes of text by their first ``depth`` bytes at most, and for each pair of
+    neighbours the length of the common prefix, up to depth (below ``least``: 0). Suffixes with less
+    room than ``least`` are left out: none lies between two that share so much. room: bytes from each
     position to the end of its own string; prefixes don't go beyond it. Ranks are doubled: 8, 16,
     32, ... bytes; suffixes that are alone with their rank are not sorted again."""
     n = len(text)
@@ -151,17 +152,19 @@ def suffix_array(text: np.ndarray, room: np.ndarray, depth: int, least: int = 1)
     while size < depth:
         step = min(size, depth - size)
         tied = _tied(rank)
+        tied = tied[room[tied] >= size]  # shorter ones are equal for good
         nxt = np.zeros(len(tied), np.uint64)
         inside = room[tied] > step
         nxt[inside] = rank[tied[inside] + step] + np.uint64(1)
         rank = _refined(rank, tied, nxt)
         size += step
         ranks.append((size, rank))
-    order = np.argsort(rank, kind="stable")
-    lcp = np.zeros(n, np.int64)
+    order = np.flatnonzero(room >= least)
+    order = order[np.argsort(rank[order], kind="stable")]
+    lcp = np.zeros(len(order), np.int64)
     a, b = order[:-1], order[1:]
     near = next((r for size, r in reversed(ranks) if size <= least), None)
-    pair = np.arange(n - 1) if near is None else np.flatnonzero((near[a] == near[b]) & (np.minimum(room[a], room[b]) >= least))
+    pair = np.arange(len(a)) if near is None else np.flatnonzero(near[a] == near[b])
     a, b = a[pair], b[pair]
     most = np.minimum(room[a], room[b]).astype(np.int64)
     total = np.where(rank[a] == rank[b], depth, 0)
