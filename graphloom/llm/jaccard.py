@@ -193,7 +193,15 @@ def possible(nx, ny, ix, iy, need, percent: int) -> np.ndarray:
     return ok & (np.minimum(nx - ix, ny - iy) + need - 1 >= share)
 
 
-_FOUND = "long_run boolean, a long, b long, shared long, need long, n long"
+#: kind 0: candidates a and b, shared entries, entries needed; 1: the long runs of group a (data); 2: document b is in these.
+_FOUND = "kind int, a long, b long, shared long, need long, data binary"
+_RUNS = [("token", np.uint64), ("gid", np.int64), ("n", np.int64), ("at", np.int64), ("need", np.int64)]
+
+
+def _found(arrow: pa.Schema, kind: int, a, b, shared=None, need=None, data=None) -> pa.Table:
+    zero = np.zeros(len(a), np.int64)
+    columns = (np.full(len(a), kind, np.int32), a, b, zero if shared is None else shared, zero if need is None else need, data or [None] * len(a))
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
 
 def _candidates(percent: int):
@@ -237,9 +245,12 @@ def _candidates(percent: int):
             head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
             if len(head):
                 shared = np.add.reduceat(np.where(star, 1 << 20, 1), head)
-                tables.append(pa.Table.from_arrays([pa.array(np.zeros(len(head), bool)), pa.array(a[head]), pa.array(b[head]), pa.array(shared), pa.array(np.maximum.reduceat(low, head)), pa.array(np.zeros(len(head), np.int64))], schema=arrow))
+                tables.append(_found(arrow, 0, a[head], b[head], shared, np.maximum.reduceat(low, head)))
         if len(long):
-            tables.append(pa.Table.from_arrays([pa.array(np.ones(len(long), bool)), pa.array(token[long].view(np.int64)), pa.array(gid[long]), pa.array(at[long]), pa.array(need[long]), pa.array(n[long])], schema=arrow))
+            pid = group.column("pid")[0].as_py()
+            runs = cs.deflate(b"".join(tk.planes(np.ascontiguousarray(c[long])) for c in (token, gid, n, at, need)))
+            tables.append(_found(arrow, 1, np.array([pid]), np.array([len(long)]), data=[runs]))
+            tables.append(_found(arrow, 2, np.full(len(which), pid), which))
         return pa.concat_tables(tables) if tables else arrow.empty_table()
 
     return run
@@ -260,20 +271,28 @@ def _crossing(percent: int):
                 ok = possible(n[x], n[y], at[x], at[y], np.minimum(need[x], need[y]), percent)
                 yield np.minimum(gid[x[ok]], gid[y[ok]]), np.maximum(gid[x[ok]], gid[y[ok]])
 
-    def run(group: pa.Table) -> pa.Table:
-        token, gid, at, need, n, root = (group.column(c).to_numpy() for c in ("a", "b", "shared", "need", "n", "root"))
-        order = np.lexsort((n, token))
-        token, gid, at, need, n, root = (c[order] for c in (token, gid, at, need, n, root))
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = np.zeros((0, 2), np.int64)
         held, size = [], 0
-        for i, j in zip(first[:-1], first[1:]):
+        if not left.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        raw, m = cs.inflate(left.column("data")[0].as_py()), left.column("entries")[0].as_py()
+        token, gid, n, at, need = (tk.unplanes(raw[8 * m * i : 8 * m * (i + 1)], kind) for i, (_, kind) in enumerate(_RUNS))
+        known, roots = right.column("b").to_numpy(), right.column("root").to_numpy()
+        order = np.argsort(known)
+        root = roots[order][np.searchsorted(known[order], gid)]
+        # Runs come by shingle and size. Those within one component are done.
+        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        low, high = np.minimum.reduceat(root, first[:-1]), np.maximum.reduceat(root, first[:-1])
+        for i, j in zip(first[:-1][low < high], first[1:][low < high]):
             for a, b in pairs(gid[i:j], at[i:j], need[i:j], n[i:j], root[i:j]):
                 held.append(np.stack([a, b], axis=1))
                 size += len(a)
-            if size > 1 << 20 or j == len(token):
+            if size > 1 << 20:
                 found = np.unique(np.concatenate([found, *held]), axis=0)
                 held, size = [], 0
+        if held:
+            found = np.unique(np.concatenate([found, *held]), axis=0)
         return pa.table({"a": pa.array(found[:, 0].copy()), "b": pa.array(found[:, 1].copy())})
 
     return run
@@ -329,12 +348,12 @@ def _solve(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str, re
     entries = alone.mapInArrow(_prefixes(k, percent, sent, mean, parts), cs.ASK_SCHEMA)
     found = materialize(entries.groupBy("pid").applyInArrow(_candidates(percent), _FOUND), "candidates")
 
-    pairs = found.where("not long_run").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
+    pairs = found.where("kind = 0").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("need").alias("need")).where("shared >= need").select("a", "b")
     links = materialize(_verified(pairs, texts, k, percent), "links")
     roots = components(links)
-    runs = found.where("long_run").join(roots.select(F.col("u").alias("b"), F.col("v").alias("root")), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    mixed = runs.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
-    crossing = materialize(runs.join(mixed, "a", "left_semi").withColumn("part", F.pmod("a", F.lit(parts))).groupBy("part").applyInArrow(_crossing(percent), "a long, b long").distinct(), "crossing")
+    inside = found.where("kind = 2").select("a", "b").join(roots.select(F.col("u").alias("b"), F.col("v").alias("root")), "b", "left").select(F.col("a").alias("part"), "b", F.coalesce("root", "b").alias("root"))
+    runs = found.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("entries"), "data")
+    crossing = materialize(runs.groupBy("part").cogroup(inside.groupBy("part")).applyInArrow(_crossing(percent), "a long, b long").distinct(), "crossing")
     if not crossing.isEmpty():
         more = materialize(_verified(crossing, texts, k, percent), "links")
         if not more.isEmpty():
