@@ -43,7 +43,9 @@ BITS = 21
 RUN = 24
 _MOST = 6
 _VERIFY = 40.0
-_DOC = "gid long, doc_id long, n long, sig1 long, sig2 long, blob binary"
+_DOC = "gid long, doc_id long, n long, sig1 long, sig2 long, bits binary, blob binary"
+#: Bits of a set's parity bitmap, as a power of two.
+PARITY = 11
 _BLOCK = 1 << 20
 #: Prefix entries that a task sorts at once.
 ENTRIES_EACH = 1_200_000
@@ -88,14 +90,16 @@ def _begin(k: int):
             for a, b, texts in _texts(batch, 1):
                 sets = shingle_sets(texts, k)
                 sigs = np.zeros((2, b - a), np.int64)
+                bits = []
                 for i, s in enumerate(sets):
+                    m = tk.mix(s)
+                    bits.append(np.packbits(np.bincount((m >> np.uint64(64 - PARITY)).astype(np.int64), minlength=1 << PARITY).astype(np.uint8) & 1).tobytes())
                     if len(s):
-                        m = tk.mix(s)
                         sigs[:, i] = np.array([m.sum(), np.bitwise_xor.reduce(m)], np.uint64).view(np.int64)
                 blobs = [cs.deflate(t) if ok else None for t, ok in zip(texts, known[a:b].to_pylist())]
-                columns = [pa.array(np.arange(number, number + b - a)), batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs[0]), pa.array(sigs[1]), pa.array(blobs, pa.binary()), *(c.slice(a, b - a) for c in batch.columns[2:])]
+                columns = [pa.array(np.arange(number, number + b - a)), batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sigs[0]), pa.array(sigs[1]), pa.array(bits, pa.binary()), pa.array(blobs, pa.binary()), *(c.slice(a, b - a) for c in batch.columns[2:])]
                 number += b - a
-                yield pa.RecordBatch.from_arrays(columns, names=["gid", "doc_id", "n", "sig1", "sig2", "blob", *batch.schema.names[2:]])
+                yield pa.RecordBatch.from_arrays(columns, names=["gid", "doc_id", "n", "sig1", "sig2", "bits", "blob", *batch.schema.names[2:]])
 
     return run
 
@@ -257,9 +261,12 @@ def _candidates(percent: int):
 
 
 def _crossing(percent: int):
-    """Pairs of a shingle's documents in different components that may link; each once a group."""
+    """Pairs of a shingle's documents in different components that may link; each once a group.
 
-    def pairs(gid, at, need, n, root):
+    Two sets differ in at least as many shingles as their parity bitmaps differ in bits, which
+    bounds what they share from above."""
+
+    def pairs(gid, at, need, n, root, bits):
         until = np.searchsorted(n * percent, 100 * n, side="right")
         for lo in range(0, len(gid), 512):
             hi = min(lo + 512, len(gid))
@@ -268,8 +275,12 @@ def _crossing(percent: int):
                 d = min(c + (1 << 13), end)
                 x, y = np.nonzero((root[lo:hi, None] != root[None, c:d]) & (np.arange(lo, hi)[:, None] < np.arange(c, d)[None, :]))
                 x, y = x + lo, y + c
-                ok = possible(n[x], n[y], at[x], at[y], np.minimum(need[x], need[y]), percent)
-                yield np.minimum(gid[x[ok]], gid[y[ok]]), np.maximum(gid[x[ok]], gid[y[ok]])
+                ok = np.flatnonzero(possible(n[x], n[y], at[x], at[y], np.minimum(need[x], need[y]), percent))
+                for part in np.array_split(ok, len(ok) // 50_000 + 1):
+                    i, j = x[part], y[part]
+                    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+                    ok = part[apart <= n[i] + n[j] - 2 * -(-percent * (n[i] + n[j]) // (100 + percent))]
+                    yield np.minimum(gid[x[ok]], gid[y[ok]]), np.maximum(gid[x[ok]], gid[y[ok]])
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         found = np.zeros((0, 2), np.int64)
@@ -280,12 +291,14 @@ def _crossing(percent: int):
         token, gid, n, at, need = (tk.unplanes(raw[8 * m * i : 8 * m * (i + 1)], kind) for i, (_, kind) in enumerate(_RUNS))
         known, roots = right.column("b").to_numpy(), right.column("root").to_numpy()
         order = np.argsort(known)
-        root = roots[order][np.searchsorted(known[order], gid)]
+        at_doc = order[np.searchsorted(known[order], gid)]
+        root = roots[at_doc]
+        every = np.frombuffer(b"".join(right.column("bits").to_pylist()), np.uint64).reshape(len(known), -1)
         # Runs come by shingle and size. Those within one component are done.
         first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         low, high = np.minimum.reduceat(root, first[:-1]), np.maximum.reduceat(root, first[:-1])
         for i, j in zip(first[:-1][low < high], first[1:][low < high]):
-            for a, b in pairs(gid[i:j], at[i:j], need[i:j], n[i:j], root[i:j]):
+            for a, b in pairs(gid[i:j], at[i:j], need[i:j], n[i:j], root[i:j], every[at_doc[i:j]]):
                 held.append(np.stack([a, b], axis=1))
                 size += len(a)
             if size > 1 << 20:
@@ -352,6 +365,7 @@ def _solve(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str, re
     links = materialize(_verified(pairs, texts, k, percent), "links")
     roots = components(links)
     inside = found.where("kind = 2").select("a", "b").join(roots.select(F.col("u").alias("b"), F.col("v").alias("root")), "b", "left").select(F.col("a").alias("part"), "b", F.coalesce("root", "b").alias("root"))
+    inside = inside.join(texts.select(F.col("gid").alias("b"), "bits"), "b")
     runs = found.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("entries"), "data")
     crossing = materialize(runs.groupBy("part").cogroup(inside.groupBy("part")).applyInArrow(_crossing(percent), "a long, b long").distinct(), "crossing")
     if not crossing.isEmpty():
