@@ -1 +1,7 @@
-"""RDF graphs and SPARQL 1.1 on Spark DataFrames."""
+"""RDF, SPARQL and training-data operators on Spark."""
+
+from .catalog import Catalog, MappingError
+from .convert import hdt2ttl, hdtcat, ttl2hdt
+from .dataset import SparkDataset, build_catalog, dataset, query
+
+__all__ = ["Catalog", "MappingError", "SparkDataset", "build_catalog", "dataset", "hdt2ttl", "hdtcat", "query", "ttl2hdt"]

@@ -505,6 +505,54 @@ class Compiler:
         return seen.toDF(".s", ".o")
 
 
+def construct(c: Compiler, q: ast.Query) -> DataFrame:
+    """The set of triples of the template over all solutions; blank nodes of the template are new in each solution,
+    and triples with an unbound or unfit term are left out."""
+    rel = c.query(q)
+    own = {x for t in q.template for x in t if isinstance(x, ast.Var) and x.name.startswith(".") and x.name not in rel.kinds}
+    df = rel.df.withColumn(".row", F.monotonically_increasing_id()) if own else rel.df
+    number = {v: i for i, v in enumerate(sorted(own, key=lambda v: v.name))}
+
+    def term(x) -> Column:
+        if not isinstance(x, ast.Var):
+            return F.lit(constant(x))
+        if x in number:
+            return F.concat(F.lit(f"_:c{number[x]}n"), F.col("`.row`").cast("string"))
+        return as_term(rel.col(x.name), rel.kinds[x.name]) if x.name in rel.kinds else F.lit(None).cast("string")
+
+    every = F.array(*(F.struct(*(term(x).alias(k) for k, x in zip("spo", t))) for t in q.template))
+    out = df.select(F.explode(every).alias("t")).select("t.*") if q.template else c.spark.createDataFrame([], "s string, p string, o string")
+    fit = F.col("o").isNotNull() & ~F.col("s").startswith('"') & ~F.col("p").startswith('"') & ~F.col("p").startswith("_:")
+    return out.where(fit).distinct()
+
+
+def describe(c: Compiler, q: ast.Query) -> DataFrame:
+    """All triples of the described nodes, and of the blank nodes reached by them through blank nodes."""
+    from .scratch import materialize
+
+    rel = c.query(q)
+    names = [v.name for v in q.terms if isinstance(v, ast.Var) and v.name in rel.kinds] if q.terms else [n for n in rel.kinds if not n.startswith(".")]
+    nodes = [rel.df.select(as_term(rel.col(n), rel.kinds[n]).alias("s")) for n in names]
+    fixed = [(constant(t),) for t in q.terms if isinstance(t, ast.Iri)]
+    if fixed:
+        nodes.append(c.spark.createDataFrame(fixed, "s string"))
+    graphs = [i.value for i in q.sources] if q.sources else c.source.urns
+    r = c.bgp(((ast.Var("s"), ast.Var("p"), ast.Var("o")),), [g for g in graphs if g in c.source.urns]).as_terms({"s", "p", "o"})
+    triples = r.df.select("s", "p", "o")
+    if not nodes:
+        return triples.limit(0)
+    todo = reduce(lambda a, b: a.union(b), nodes).where(F.col("s").isNotNull()).distinct()
+    found = materialize(triples.join(todo, "s", "left_semi").distinct(), "described")
+    last = found
+    while True:
+        blank = last.where(F.col("o").startswith("_:")).select(F.col("o").alias("s")).distinct()
+        blank = materialize(blank.join(found.select("s").distinct(), "s", "left_anti"), "blank")
+        if blank.isEmpty():
+            return found.select("s", "p", "o")
+        last = materialize(triples.join(blank, "s", "left_semi").distinct(), "described")
+        found = found.union(last)
+
+
 class SparqlUnsupported(NotImplementedError):
     pass
 
