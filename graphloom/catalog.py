@@ -100,16 +100,26 @@ class FileStats:
 
     def is_current(self, path: str) -> bool:
         try:
-            now = os.stat(path)
+            return file_state(path) == (self.size, self.mtime)
         except OSError:
             return False
-        return (now.st_size, now.st_mtime) == (self.size, self.mtime)
+
+
+def file_state(path: str) -> tuple[int, float]:
+    if "://" in path:
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(path)
+        info = system.get_file_info(inner)
+        return info.size or 0, (info.mtime_ns or 0) / 1e9
+    now = os.stat(path)
+    return now.st_size, now.st_mtime
 
 
 def file_stats(path: str) -> FileStats:
-    at = os.stat(path)
+    size, mtime = file_state(path)
     g = codec.decode(read_bytes(path), verify=False)
-    return FileStats(path, at.st_size, at.st_mtime, len(g), g.subject_count, g.object_count, g.predicate_counts())
+    return FileStats(path, size, mtime, len(g), g.subject_count, g.object_count, g.predicate_counts())
 
 
 @dataclass

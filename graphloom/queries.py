@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sparql.compile import Compiler
-from .sparql.parser import parse
-from .terms import lexical
+from .catalog import Catalog, Mapping
+from .dataset import SparkDataset
+from .sources import datasource
+from .sparql.compile import Compiler, construct, describe
+from .sparql.parser import Var, parse
+from .sparql.scratch import folder
+from .terms import TERM, lexical
 from .virtual import VirtualGraphs
 
 NS = {"c": "urn:col:", "t": "urn:tab:", "k": "urn:class:", "xsd": "http://www.w3.org/2001/XMLSchema#"}
@@ -69,13 +73,39 @@ _Q: dict[str, tuple[str, str, str]] = {
     "fn_datetime": ("orders", "SELECT ?k (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (DAY(?d) AS ?e) {?o c:o_orderkey ?k; c:o_orderdate ?d}", "SELECT o_orderkey AS k, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS e FROM orders"),
     "fn_hash": ("nation", "SELECT (MD5(?x) AS ?a) (SHA1(?x) AS ?b) (SHA256(?x) AS ?c) {?n c:n_name ?x}", "SELECT md5(n_name) AS a, sha1(n_name) AS b, sha256(n_name) AS c FROM nation"),
     "fn_if_coalesce": ("orders", 'SELECT ?k (IF(?k > 100, "big", "small") AS ?i) (COALESCE(?nope, ?k) AS ?c) {?o c:o_orderkey ?k}', "SELECT o_orderkey AS k, CASE WHEN o_orderkey > 100 THEN 'big' ELSE 'small' END AS i, CAST(o_orderkey AS VARCHAR) AS c FROM orders"),
+    "tp_s": ("nation", "SELECT ?p ?o {<urn:nation:7> ?p ?o}", "SELECT unnest(['urn:col:n_nationkey', 'urn:col:n_name', 'urn:col:n_regionkey', 'urn:col:n_regionkey_raw', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS p, unnest(['7', n_name, 'urn:region:' || n_regionkey, n_regionkey::VARCHAR, 'urn:class:Nation']) AS o FROM nation WHERE n_nationkey = 7"),
+    "tp_o": ("nation region", 'SELECT ?s ?p {?s ?p "NATION_7"}', "SELECT 'urn:nation:' || n_nationkey AS s, 'urn:col:n_name' AS p FROM nation WHERE n_name = 'NATION_7'"),
+    "tp_same_var": ("nation", "SELECT ?k {?n c:n_nationkey ?k; c:n_regionkey_raw ?k}", "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey = n_regionkey"),
+    "optional_nested": ("documents labels", "SELECT ?d ?q ?t {?x c:n_chars ?n; c:doc_id ?d OPTIONAL {?l c:doc_id ?x; c:quality ?q OPTIONAL {?l c:toxic ?t FILTER(?t = 1)}}}", "SELECT d.doc_id AS d, CAST(quality AS BIGINT) AS q, CAST(CASE WHEN toxic = 1 THEN 1 END AS BIGINT) AS t FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"),
+    "values_undef": ("nation", 'SELECT ?k {VALUES (?n ?x) {(<urn:nation:1> UNDEF) (UNDEF "NATION_3")} ?n c:n_name ?x; c:n_nationkey ?k}', "SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey = 1 OR n_name = 'NATION_3'"),
+    "ask_false": ("nation", 'ASK {?n c:n_name "nowhere"}', "SELECT false AS ask"),
+    "construct": ("nation", "CONSTRUCT {?n k:label ?x; k:of ?r} WHERE {?n c:n_name ?x; c:n_regionkey ?r}", "SELECT 'urn:nation:' || n_nationkey AS s, unnest(['urn:class:label', 'urn:class:of']) AS p, unnest(['\"' || n_name || '\"', 'urn:region:' || n_regionkey]) AS o FROM nation"),
+    "describe": ("nation region", "DESCRIBE <urn:region:1>", "SELECT 'urn:region:1' AS s, unnest(['urn:col:r_regionkey', 'urn:col:r_name', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS p, unnest(['\"1\"^^<http://www.w3.org/2001/XMLSchema#integer>', '\"' || r_name || '\"', 'urn:class:Region']) AS o FROM region WHERE r_regionkey = 1"),
+    "path_neg": ("nation", "SELECT ?o {?s !(c:n_name|c:n_nationkey|c:n_regionkey_raw|a) ?o}", "SELECT 'urn:region:' || n_regionkey AS o FROM nation"),
+    "path_star": ("conversations", "SELECT ?b {<urn:conversations:1-0> c:nextTurn* ?b}", "SELECT DISTINCT 'urn:conversations:' || b AS b FROM (SELECT '1-0' AS b UNION ALL SELECT conv_id || '-' || turn FROM conversations WHERE conv_id = 1 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 1 AND turn = 0))"),
+    "path_opt": ("conversations", "SELECT ?b {<urn:conversations:1-0> c:nextTurn? ?b}", "SELECT DISTINCT 'urn:conversations:' || b AS b FROM (SELECT '1-0' AS b UNION ALL SELECT '1-1' FROM conversations WHERE conv_id = 1 AND turn = 1 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 1 AND turn = 0))"),
+    "agg_sum_avg": ("orders", "SELECT ?s (SUM(?k) AS ?t) (ROUND(AVG(?p)) AS ?v) {?o c:o_orderstatus ?s; c:o_orderkey ?k; c:o_totalprice ?p} GROUP BY ?s", "SELECT o_orderstatus AS s, CAST(sum(o_orderkey) AS BIGINT) AS t, floor(avg(o_totalprice) + 0.5) AS v FROM orders GROUP BY 1"),
+    "agg_distinct_sum": ("orders", "SELECT ?s (SUM(DISTINCT ?c) AS ?t) {?o c:o_orderstatus ?s; c:o_custkey_raw ?c} GROUP BY ?s", "SELECT o_orderstatus AS s, CAST(sum(DISTINCT o_custkey) AS BIGINT) AS t FROM orders GROUP BY 1"),
+    "agg_count_distinct_star": ("orders", "SELECT (COUNT(DISTINCT *) AS ?n) {{SELECT ?c ?s {?o c:o_custkey ?c; c:o_orderstatus ?s}}}", "SELECT count(*) AS n FROM (SELECT DISTINCT o_custkey, o_orderstatus FROM orders)"),
+    "topk": ("orders", "SELECT ?k ?p {?o c:o_orderkey ?k; c:o_totalprice ?p} ORDER BY DESC(?p) ?k LIMIT 10", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders ORDER BY 2 DESC, 1 LIMIT 10"),
+    "reduced": ("customer", "SELECT REDUCED ?m {?c c:c_mktsegment ?m}", "SELECT c_mktsegment AS m FROM customer"),
+    "fn_encode_uri": ("nation", 'SELECT (ENCODE_FOR_URI(CONCAT(?x, " é/~*")) AS ?e) {?n c:n_name ?x}', "SELECT n_name || '%20%C3%A9%2F~%2A' AS e FROM nation"),
+    "fn_round_neg": ("supplier", "SELECT ?k (ROUND(0 - ?b) AS ?r) (ROUND(-2.5) AS ?h) {?s c:s_suppkey ?k; c:s_acctbal ?b}", "SELECT s_suppkey AS k, floor(0.5 - s_acctbal) AS r, CAST(-2 AS DECIMAL(38,18)) AS h FROM supplier"),
+    "fn_cast": ("nation", "SELECT (xsd:string(?k) AS ?s) (xsd:double(?k) AS ?d) (xsd:integer(?x) AS ?i) (xsd:boolean(?k) AS ?b) {?n c:n_nationkey ?k; c:n_name ?x}", "SELECT n_nationkey::VARCHAR AS s, n_nationkey::DOUBLE AS d, try_cast(n_name AS BIGINT) AS i, n_nationkey <> 0 AS b FROM nation"),
+    "fn_term_tests": ("nation", "SELECT (sameTerm(?n, ?n) AS ?a) (isIRI(?n) AS ?b) (isLiteral(?x) AS ?c) (isBlank(?n) AS ?d) (isNumeric(?k) AS ?e) (isNumeric(?x) AS ?f) {?n c:n_nationkey ?k; c:n_name ?x}", "SELECT true AS a, true AS b, true AS c, false AS d, true AS e, false AS f FROM nation"),
+    "fn_lang_datatype": ("nation", 'SELECT (LANG(STRLANG(?x, "en")) AS ?l) (LANG(?x) AS ?m) (DATATYPE(?k) AS ?d) (DATATYPE(?x) AS ?e) (langMatches(LANG(STRLANG(?x, "en-us")), "en") AS ?f) {?n c:n_nationkey ?k; c:n_name ?x}', "SELECT 'en' AS l, '' AS m, 'http://www.w3.org/2001/XMLSchema#integer' AS d, 'http://www.w3.org/2001/XMLSchema#string' AS e, true AS f FROM nation"),
+    "fn_constructors": ("nation", 'SELECT (STR(?n) AS ?s) (IRI(CONCAT("urn:x:", ?x)) AS ?i) (STR(STRDT(?x, xsd:token)) AS ?t) {?n c:n_name ?x}', "SELECT 'urn:nation:' || n_nationkey AS s, 'urn:x:' || n_name AS i, n_name AS t FROM nation"),
+    "fn_ebv": ("nation", 'SELECT (IF(?k, 1, 0) AS ?a) (IF(?x, 1, 0) AS ?b) (IF("", 1, 0) AS ?c) {?n c:n_nationkey ?k; c:n_name ?x}', "SELECT CAST(n_nationkey <> 0 AS BIGINT) AS a, CAST(1 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM nation"),
 }
 
 
 def _run(tables: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = parse(text, NS)
-        rel = Compiler(spark, VirtualGraphs(spark, sf_dir, tables.split())).query(q)
+        c = Compiler(spark, VirtualGraphs(spark, sf_dir, tables.split()))
+        if q.form in ("CONSTRUCT", "DESCRIBE"):
+            return (construct if q.form == "CONSTRUCT" else describe)(c, q)
+        rel = c.query(q)
         if q.form == "ASK":
             return rel.df.limit(1).agg((F.count(F.lit(1)) > 0).alias("ask"))
         return rel.df.select(*((lexical(rel.col(n), k) if k.name in ("iri", "term") else rel.col(n)).alias(n) for n, k in rel.kinds.items()))
@@ -83,5 +113,70 @@ def _run(tables: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
     return query
 
 
-QUERIES = {name: _run(tables, text) for name, (tables, text, _) in _Q.items()}
-ORACLES = {name: sql for name, (_, _, sql) in _Q.items()}
+def _triples(spark: SparkSession, sf_dir: str, tables: str) -> DataFrame:
+    c = Compiler(spark, VirtualGraphs(spark, sf_dir, tables.split()))
+    return c.bgp(((Var("s"), Var("p"), Var("o")),), c.source.urns).as_terms({"s", "p", "o"}).df.select("s", "p", "o")
+
+
+def _written(triples: DataFrame, form: str) -> list[str]:
+    """Files of the triples: the rows of a subject are in one file."""
+    datasource.register(triples.sparkSession)
+    path = folder(triples.sparkSession, form)
+    triples.repartition("s").write.format(form).mode("append").save(path)
+    return datasource.listing(path, "." + form)
+
+
+def hdt_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasource.read(spark, "hdt", _written(_triples(spark, sf_dir, "nation region"), "hdt"), verify="true").select("s", "p", "o")
+
+
+def ttl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return datasource.read(spark, "ttl", _written(_triples(spark, sf_dir, "nation region"), "ttl")).select("s", "p", "o")
+
+
+def hdtcat_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union as a set of two collections of files that overlap."""
+    files = _written(_triples(spark, sf_dir, "nation region"), "hdt") + _written(_triples(spark, sf_dir, "region"), "hdt")
+    merged = datasource.read(spark, "hdt", files).select("s", "p", "o").dropDuplicates()
+    return datasource.read(spark, "hdt", _written(merged, "hdt")).select("s", "p", "o")
+
+
+def _dataset(spark: SparkSession, sf_dir: str) -> SparkDataset:
+    graphs = {"urn:tab:" + t: tuple(_written(_triples(spark, sf_dir, t), "hdt")) for t in ("nation", "region", "supplier")}
+    catalog = Catalog(Mapping(graphs, "map.json"), {}, "map.catalog.json", spark)
+    catalog.rebuild(save=False)
+    return SparkDataset(spark, catalog.mapping, catalog)
+
+
+def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of each predicate of each graph, from the statistics of the files."""
+    stats = [(u.urn, p, u.predicate_count(p)) for u in _dataset(spark, sf_dir).catalog for p in sorted({p for f in u.files for p in f.predicates})]
+    return spark.createDataFrame(stats, "urn string, predicate string, triples bigint")
+
+
+def reorder_hdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A join over HDT files with its patterns in the order of their estimates."""
+    text = "SELECT ?s ?r {?x c:s_name ?s. ?x c:s_nationkey ?n. ?n c:n_regionkey ?g. ?g c:r_name ?r}"
+    df = _dataset(spark, sf_dir).query(text, NS).df
+    return df.select(*(lexical(df[c], TERM).alias(c) for c in df.columns))
+
+
+_TRIPLES = """SELECT 'urn:nation:' || n_nationkey AS s,
+  unnest(['urn:col:n_nationkey', 'urn:col:n_name', 'urn:col:n_regionkey', 'urn:col:n_regionkey_raw', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS p,
+  unnest(['"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>', '"' || n_name || '"', 'urn:region:' || n_regionkey, '"' || n_regionkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>', 'urn:class:Nation']) AS o
+FROM nation UNION ALL SELECT 'urn:region:' || r_regionkey, unnest(['urn:col:r_regionkey', 'urn:col:r_name', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']),
+  unnest(['"' || r_regionkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>', '"' || r_name || '"', 'urn:class:Region']) FROM region"""
+_STATS = " UNION ALL ".join(
+    f"SELECT 'urn:tab:{t}' AS urn, unnest([{', '.join(repr('urn:col:' + c) for c in columns.split())}, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS predicate, count(*) AS triples FROM {t}"
+    for t, columns in (("nation", "n_nationkey n_name n_regionkey n_regionkey_raw"), ("region", "r_regionkey r_name"), ("supplier", "s_suppkey s_name s_nationkey s_nationkey_raw s_acctbal"))
+)
+_FILES = {
+    hdt_roundtrip: _TRIPLES,
+    ttl_roundtrip: _TRIPLES,
+    hdtcat_dedup: _TRIPLES,
+    catalog_stats: _STATS,
+    reorder_hdt: "SELECT s_name AS s, r_name AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+}
+
+QUERIES = {name: _run(tables, text) for name, (tables, text, _) in _Q.items()} | {f.__name__: f for f in _FILES}
+ORACLES = {name: sql for name, (_, _, sql) in _Q.items()} | {f.__name__: sql for f, sql in _FILES.items()}

@@ -2,7 +2,8 @@
 
 Options of both: ``paths``, a JSON list of paths or of [graph, path] pairs (or the path of ``load``). hdt also takes ``s``,
 ``p``, ``o``, terms that the triples must have, matched on ids within the file, and ``verify`` (payload checksums).
-Writing hdt makes one file of each partition, with its triples as a set; empty partitions make none.
+Writing makes one file of each partition, with its triples as a sorted set; empty partitions make none. Partition by
+subject first, so that a subject's triples meet in one file.
 """
 
 from __future__ import annotations
@@ -100,11 +101,11 @@ class Written(WriterCommitMessage):
     path: str | None
 
 
-class HdtWriter(DataSourceArrowWriter):
-    """Files are named by the attempt; those of failed attempts are removed by abort."""
+class Writer(DataSourceArrowWriter):
+    """Files are named by the attempt; those of finished tasks of a failed job are removed by abort."""
 
-    def __init__(self, folder: str, overwrite: bool):
-        self.folder, self.overwrite = folder, overwrite
+    def __init__(self, folder: str, overwrite: bool, suffix: str):
+        self.folder, self.overwrite, self.suffix = folder, overwrite, suffix
 
     def write(self, iterator):
         triples = set()
@@ -112,17 +113,17 @@ class HdtWriter(DataSourceArrowWriter):
             triples.update(zip(*(batch.column(c).to_pylist() for c in "spo")))
         if not triples:
             return Written(None)
-        path = f"{self.folder}/part-{uuid.uuid4().hex}.hdt"
+        path = f"{self.folder}/part-{uuid.uuid4().hex}{self.suffix}"
         if "://" not in path:
             os.makedirs(self.folder, exist_ok=True)
-        write_bytes(path, codec.encode(triples))
+        write_bytes(path, codec.encode(triples) if self.suffix == ".hdt" else "".join(turtle.serialize(sorted(triples))).encode("utf-8"))
         return Written(path)
 
     def files(self):
         from pyarrow import fs
 
         system, inner = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
-        return system, [f.path for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if f.path.endswith(".hdt")]
+        return system, [f.path for f in system.get_file_info(fs.FileSelector(inner, allow_not_found=True)) if f.path.endswith(self.suffix)]
 
     def commit(self, messages):
         if self.overwrite:
@@ -152,7 +153,7 @@ class HdtSource(DataSource):
         return HdtReader(self.options)
 
     def writer(self, schema, overwrite):
-        return HdtWriter(self.options["path"].rstrip("/"), overwrite)
+        return Writer(self.options["path"].rstrip("/"), overwrite, ".hdt")
 
 
 class TurtleSource(DataSource):
@@ -166,6 +167,9 @@ class TurtleSource(DataSource):
     def reader(self, schema):
         return TurtleReader(self.options)
 
+    def writer(self, schema, overwrite):
+        return Writer(self.options["path"].rstrip("/"), overwrite, ".ttl")
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(HdtSource)
