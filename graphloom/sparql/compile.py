@@ -41,7 +41,7 @@ class Compiler:
 
     def __init__(self, spark: SparkSession, source, default_union: bool = True, optimizer=None):
         self.spark, self.source, self.default_union, self.optimizer = spark, source, default_union, optimizer
-        self.count = 0
+        self.count, self.graphs = 0, []
 
     def fresh(self, tag: str = "x") -> str:
         self.count += 1
@@ -170,10 +170,13 @@ class Compiler:
         if isinstance(node, ast.Minus):
             return self.minus(self.pattern(node.left, graphs), self.pattern(node.right, graphs))
         if isinstance(node, ast.Filter):
-            self.graphs = graphs
-            return self.filter(node.expr, self.pattern(node.pattern, graphs), graphs)
+            rel = self.pattern(node.pattern, graphs)
+            self.graphs = graphs  # those of EXISTS
+            return self.filter(node.expr, rel, graphs)
         if isinstance(node, ast.Extend):
-            return self.extend(self.pattern(node.pattern, graphs), node.var.name, node.expr)
+            rel = self.pattern(node.pattern, graphs)
+            self.graphs = graphs
+            return self.extend(rel, node.var.name, node.expr)
         if isinstance(node, ast.Values):
             return self.values(node)
         if isinstance(node, ast.Graph):
@@ -224,11 +227,33 @@ class Compiler:
     def disjoint(self, a: Rel, b: Rel, shared) -> bool:
         return any(a.kinds[n].name == b.kinds[n].name == "iri" and a.kinds[n].prefix != b.kinds[n].prefix and n not in a.maybe | b.maybe for n in shared)
 
+    # An unbound variable is compatible with any value. Rows with and without it are joined apart, so that each
+    # part is an equi-join and none a comparison of all pairs.
+    def having(self, r: Rel, n: str) -> Rel:
+        return Rel(r.df.where(r.col(n).isNotNull()), r.kinds, r.maybe - {n})
+
+    def lacking(self, r: Rel, n: str) -> Rel:
+        """Rows where a variable is unbound, without it."""
+        rest = [m for m in r.kinds if m != n]
+        df = r.df.where(r.col(n).isNull()).select(*(map(r.col, rest) if rest else [F.lit(1).alias(".unit")]))
+        return Rel(df, {m: r.kinds[m] for m in rest}, r.maybe - {n})
+
+    def with_null(self, r: Rel, like: Rel, n: str) -> Rel:
+        return Rel(r.df.withColumn(n, F.lit(None).cast(like.df.schema[n].dataType)), {**r.kinds, n: like.kinds[n]}, r.maybe | {n})
+
     def join(self, a: Rel, b: Rel) -> Rel:
         shared = [n for n in a.kinds if n in b.kinds]
         if self.disjoint(a, b, shared):
             return self.empty({*a.kinds, *b.kinds})
         a, b = self.aligned(a, b, shared)
+        n = next((n for n in shared if n in a.maybe | b.maybe), None)
+        if n is not None:
+            parts = [self.join(self.having(a, n), self.having(b, n))]
+            if n in a.maybe:
+                parts.append(self.join(self.lacking(a, n), b))
+            if n in b.maybe:
+                parts.append(self.join(self.having(a, n), self.lacking(b, n)))
+            return self.union(parts)
         b, new = self.renamed(b, shared)
         df = a.df.join(b.df, self.condition(a, b, shared, new), "inner") if shared else a.df.crossJoin(b.df)
         return self.joined(a, b, shared, new, df, a.maybe | b.maybe)
@@ -242,6 +267,9 @@ class Compiler:
     def left_join(self, a: Rel, b: Rel, expr) -> Rel:
         shared = [n for n in a.kinds if n in b.kinds]
         a, b = self.aligned(a, b, shared)
+        n = next((n for n in shared if n in a.maybe and n not in b.maybe), None)
+        if n is not None:
+            return self.union([self.left_join(self.having(a, n), b, expr), self.left_join(self.lacking(a, n), b, expr)])
         b, new = self.renamed(b, shared)
         cond = self.condition(a, b, shared, new)
         if expr is not None:
@@ -267,12 +295,16 @@ class Compiler:
         shared = [n for n in a.kinds if n in b.kinds]
         if not shared or self.disjoint(a, b, shared):
             return a
-        a2, b = self.aligned(a, b, shared)
+        a, b = self.aligned(a, b, shared)
+        n = next((n for n in shared if n in a.maybe), None)
+        if n is not None:
+            unbound = self.minus(self.lacking(a, n), b.select([m for m in b.kinds if m != n]))
+            return self.union([self.minus(self.having(a, n), b), self.with_null(unbound, a, n)])
+        n = next((n for n in shared if n in b.maybe), None)
+        if n is not None:
+            return self.minus(self.minus(a, self.having(b, n)), self.lacking(b, n))
         b, new = self.renamed(b.select(shared), shared)
-        cond = self.condition(a2, b, shared, new)
-        if all(n in a2.maybe or new[n] in b.maybe for n in shared):
-            cond = cond & reduce(lambda x, y: x | y, (a2.col(n).isNotNull() & b.col(new[n]).isNotNull() for n in shared))
-        return Rel(a2.df.join(b.df.distinct(), cond, "left_anti"), a2.kinds, a2.maybe)
+        return Rel(a.df.join(b.df.distinct(), self.condition(a, b, shared, new), "left_anti"), a.kinds, a.maybe)
 
     def filter(self, e, rel: Rel, graphs=None) -> Rel:
         if isinstance(e, ast.Call) and e.name == "&&":
@@ -289,8 +321,13 @@ class Compiler:
         while isinstance(inner, ast.Filter) and not isinstance(inner.expr, ast.Exists):
             exprs.append(inner.expr)  # may name variables of the outer pattern
             inner = inner.pattern
-        b = self.pattern(inner, self.graphs)
+        graphs = self.graphs
+        b = self.pattern(inner, graphs)
+        self.graphs = graphs
         shared = [n for n in a.kinds if n in b.kinds]
+        n = next((n for n in shared if n in a.maybe), None)
+        if n is not None:
+            return self.union([self.exists(self.having(a, n), e), self.with_null(self.exists(self.lacking(a, n), e), a, n)])
         a, b = self.aligned(a, b, shared)
         b, new = self.renamed(b, shared)
         cond = self.condition(a, b, shared, new)
