@@ -9,6 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK = 16
 GLOBAL, HEADER, DICTIONARY, TRIPLES = 1, 2, 3, 4
@@ -217,22 +218,39 @@ def bitmap(bits: np.ndarray) -> bytes:
     return with_sums(b"\1" + vbyte(len(bits)), np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
 
 
+def shared_prefixes(terms: list[bytes]) -> list[int]:
+    """Bytes that each term has in common with the one before it."""
+    out, width, step = [], 128, 1 << 14
+    for a in range(0, len(terms), step):
+        part = terms[a : a + step]
+        head = np.array([terms[a - 1][:width] if a else b"", *(t[:width] for t in part)], dtype=f"S{width}").view(np.uint8).reshape(-1, width)
+        differ = head[1:] != head[:-1]
+        found = np.where(differ.any(axis=1), differ.argmax(axis=1), width).tolist()
+        for i, n in enumerate(found, a):
+            now, last = terms[i], terms[i - 1] if i else b""
+            end = min(len(now), len(last))
+            n = min(n, end)
+            while width <= n < end and now[n] == last[n]:
+                n += 1
+            out.append(n)
+    return out
+
+
 def strings(terms: list[bytes]) -> tuple[bytes, int]:
     """A front-coded section, and the size of its buffer."""
-    buffer, starts, last = bytearray(), [], b""
-    for i, t in enumerate(terms):
+    pieces, starts, size = [], [], 0
+    counts = [vbyte(n) for n in range(256)]
+    for i, (t, n) in enumerate(zip(terms, shared_prefixes(terms))):
         if i % BLOCK == 0:
-            starts.append(len(buffer))
-            buffer += t
+            starts.append(size)
+            piece = t + b"\0"
         else:
-            shared, end = 0, min(len(last), len(t))
-            while shared < end and last[shared] == t[shared]:
-                shared += 1
-            buffer += vbyte(shared) + t[shared:]
-        buffer.append(0)
-        last = t
-    head = b"\2" + vbyte(len(terms)) + vbyte(len(buffer)) + vbyte(BLOCK)
-    return head + bytes([crc8(head)]) + array([*starts, len(buffer)]) + bytes(buffer) + crc32c(bytes(buffer)).to_bytes(4, "little"), len(buffer)
+            piece = (counts[n] if n < 256 else vbyte(n)) + t[n:] + b"\0"
+        size += len(piece)
+        pieces.append(piece)
+    body = b"".join(pieces)
+    head = b"\2" + vbyte(len(terms)) + vbyte(size) + vbyte(BLOCK)
+    return head + bytes([crc8(head)]) + array([*starts, size]) + body + crc32c(body).to_bytes(4, "little"), size
 
 
 @dataclass
@@ -305,21 +323,40 @@ def decode(data: bytes, verify: bool = True) -> Graph:
     return Graph(shared, subjects, predicates, objects, subject[pair], y[pair], z)
 
 
+def _coded(column) -> tuple[np.ndarray, list[bytes]]:
+    """Codes of a column of terms, and its distinct terms in the order of their bytes."""
+    coded = pa.array(column, pa.large_string()).dictionary_encode()
+    terms = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    order = sorted(range(len(terms)), key=terms.__getitem__)
+    rank = np.empty(len(terms), dtype=np.int64)
+    rank[order] = np.arange(len(terms))
+    return rank[coded.indices.to_numpy(zero_copy_only=False)], [terms[i] for i in order]
+
+
+def _ids(terms: list[bytes], shared: set[bytes]) -> tuple[np.ndarray, list[bytes]]:
+    """Ids of sorted terms where the shared ones come first, and the terms that are not shared."""
+    first = np.fromiter((t in shared for t in terms), dtype=bool, count=len(terms))
+    ids = np.where(first, np.cumsum(first), first.sum() + np.cumsum(~first))
+    return ids, [t for t, f in zip(terms, first) if not f]
+
+
 def encode(triples) -> bytes:
     """A file of a set of triples of canonical terms; ValueError for none, or for a term with NUL."""
-    rows = {tuple(x.encode("utf-8") for x in t) for t in triples}
-    if not rows:
+    columns = list(zip(*triples))
+    if not columns:
         raise ValueError("a graph without triples cannot be written")
-    if any(b"\0" in x for t in rows for x in t):
+    (s, subjects), (p, predicates), (o, objects) = map(_coded, columns)
+    if any(b"\0" in t for part in (subjects, predicates, objects) for t in part):
         raise ValueError("a term with U+0000 cannot be written")
-    subjects, objects = {t[0] for t in rows}, {t[2] for t in rows}
-    shared = subjects & objects
-    parts = [sorted(shared), sorted(subjects - shared), sorted({t[1] for t in rows}), sorted(objects - shared)]
-    sid = {t: i for i, t in enumerate(parts[0] + parts[1], 1)}
-    pid = {t: i for i, t in enumerate(parts[2], 1)}
-    oid = {t: i for i, t in enumerate(parts[0] + parts[3], 1)}
-    ids = np.array([(sid[s], pid[p], oid[o]) for s, p, o in rows], dtype=np.int64)
-    s, p, o = ids[np.lexsort((ids[:, 2], ids[:, 1], ids[:, 0]))].T
+    shared = set(subjects) & set(objects)
+    sid, own_subjects = _ids(subjects, shared)
+    oid, own_objects = _ids(objects, shared)
+    parts = [[t for t in subjects if t in shared], own_subjects, predicates, own_objects]
+    s, p, o = sid[s], p + 1, oid[o]
+    order = np.lexsort((o, p, s))
+    s, p, o = s[order], p[order], o[order]
+    new = np.append(True, (s[1:] != s[:-1]) | (p[1:] != p[:-1]) | (o[1:] != o[:-1]))
+    s, p, o = s[new], p[new], o[new]
     last_pair = np.append((s[1:] != s[:-1]) | (p[1:] != p[:-1]), True)
     ps, py = s[last_pair], p[last_pair]
     last_subject = np.append(ps[1:] != ps[:-1], True)
