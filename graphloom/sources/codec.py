@@ -187,15 +187,22 @@ class Reader:
         n, size, block = self.number(), self.number(), self.number()
         self.head_sum(start)
         self.array()
-        body = Reader(self.payload(size))
-        out, last = [], b""
+        body = self.payload(size)
+        out, last, at = [], b"", 0
         for i in range(n):
-            shared = 0 if i % block == 0 else body.number()
-            end = body.data.find(b"\0", body.at)
+            shared = 0
+            if i % block:
+                if at < size and body[at] > 127:  # the number is one byte
+                    shared, at = body[at] - 128, at + 1
+                else:
+                    number = Reader(body)
+                    number.at = at
+                    shared, at = number.number(), number.at
+            end = body.find(b"\0", at)
             if end < 0 or shared > len(last):
                 raise ValueError("damaged dictionary section")
-            last = last[:shared] + body.take(end - body.at)
-            body.at += 1
+            last = last[:shared] + body[at:end]
+            at = end + 1
             out.append(last.decode("utf-8"))
         return out
 

@@ -267,9 +267,15 @@ class Compiler:
     def left_join(self, a: Rel, b: Rel, expr) -> Rel:
         shared = [n for n in a.kinds if n in b.kinds]
         a, b = self.aligned(a, b, shared)
-        n = next((n for n in shared if n in a.maybe and n not in b.maybe), None)
+        n = next((n for n in shared if n in a.maybe), None)
         if n is not None:
             return self.union([self.left_join(self.having(a, n), b, expr), self.left_join(self.lacking(a, n), b, expr)])
+        if any(n in b.maybe for n in shared):
+            exprs = [] if expr is None else [expr]
+            joined = self.join(a, b)
+            for x in exprs:
+                joined = self.filter(x, joined)
+            return self.union([joined, self.matching(a, b, exprs, True)])
         b, new = self.renamed(b, shared)
         cond = self.condition(a, b, shared, new)
         if expr is not None:
@@ -324,17 +330,26 @@ class Compiler:
         graphs = self.graphs
         b = self.pattern(inner, graphs)
         self.graphs = graphs
+        return self.matching(a, b, exprs, e.negated)
+
+    def matching(self, a: Rel, b: Rel, exprs, negated: bool) -> Rel:
+        """Rows of a with (negated: without) a compatible row of b for which the expressions hold."""
         shared = [n for n in a.kinds if n in b.kinds]
+        a, b = self.aligned(a, b, shared)
         n = next((n for n in shared if n in a.maybe), None)
         if n is not None:
-            return self.union([self.exists(self.having(a, n), e), self.with_null(self.exists(self.lacking(a, n), e), a, n)])
-        a, b = self.aligned(a, b, shared)
+            return self.union([self.matching(self.having(a, n), b, exprs, negated), self.with_null(self.matching(self.lacking(a, n), b, exprs, negated), a, n)])
+        n = next((n for n in shared if n in b.maybe), None)
+        if n is not None:
+            rest = self.matching(a, self.having(b, n), exprs, True)
+            last = self.matching(rest, self.lacking(b, n), exprs, negated)
+            return last if negated else self.union([self.matching(a, self.having(b, n), exprs, False), last])
         b, new = self.renamed(b, shared)
         cond = self.condition(a, b, shared, new)
         scope = {n: (b.col(n), k) for n, k in b.kinds.items() if n not in new.values()} | {n: (a.col(n), k) for n, k in a.kinds.items()}
         for x in exprs:
             cond = cond & F.coalesce(ebv(*evaluate(x, Scope(scope))), F.lit(False))
-        return Rel(a.df.join(b.df, cond, "left_anti" if e.negated else "left_semi"), a.kinds, a.maybe)
+        return Rel(a.df.join(b.df, cond, "left_anti" if negated else "left_semi"), a.kinds, a.maybe)
 
     def marked(self, rel: Rel, e):
         """EXISTS within an expression: a mark on the rows, made of both cases."""
