@@ -9,8 +9,11 @@ and absolute deviations, concentration steps keep the nearest ``SUBSET`` of the
 until ``STEPS`` are done. Documents whose squared Mahalanobis distance exceeds ``CUT`` are rejected.
 
 Groups with fewer than ``LEAST`` documents are pooled by language, and those by all that is left; a
-pool still smaller rejects nothing. Each variance has a floor, so that a statistic that is
-nearly constant in a group does not make small differences outliers.
+pool still smaller rejects nothing. Each variance is at least the measurement noise of the document's
+own statistic (``noise``), so that a statistic that is nearly constant in a group does not make chance
+differences outliers: for symbols and repeats that of counts that come in clumps of ``CLUMPS``, in
+proportion to the count, for the word length the most that any length of text has. Where the group
+varies more than that, its scatter alone decides.
 
 A concentration step is one aggregation: sums of the statistics by group and class of
 distance (1,000 classes at most, each of half a percent), from which the nearest classes are summed. So
@@ -33,8 +36,9 @@ from .common import WORD, let, materialize
 SUBSET, STEPS, LEAST = 0.75, 4, 60
 #: Quantile of chi-square with 3 degrees of freedom at 0.99999, and its median.
 CUT, MEDIAN = 25.9, 2.366
-FLOORS = (0.1, 1.0, 1.0)
-_X = ("x0", "x1", "x2")
+#: Symbols that come together (a row of asterisks), and words of a line of ten that occurs twice.
+CLUMPS = (4, 20)
+_X, _V = ("x0", "x1", "x2"), ("v0", "v1", "v2")
 _PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
 
 
@@ -70,24 +74,37 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
+def noise() -> list[Column]:
+    """Variances of the transformed statistics by chance, of the counts of a document."""
+    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+
+    def of(count: str, clump: int) -> Column:
+        # Of log(1 + y), y = 100 count / n, where the count varies by clump * count.
+        return clump * F.greatest(F.col(count), F.lit(clump)) * F.pow(100 / (n + 100 * F.col(count)), F.lit(2))
+
+    # Lengths of words deviate by half their mean: n / 4 / (n + 50)^2, which is most for 50 words.
+    return [F.lit(1 / 800), of("n_symbols", CLUMPS[0]), of("n_repeat_words", CLUMPS[1])]
+
+
 def _moments(rows: DataFrame) -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *(F.sum(x).alias(f"s{i}") for i, x in enumerate(_X)), *(F.sum(F.col(_X[i]) * F.col(_X[j])).alias(f"q{i}{j}") for i, j in _PAIRS)]
 
 
 def _estimate(sums: DataFrame) -> DataFrame:
-    """Means m, and covariances c with floors, of summed moments by group."""
+    """Means m and covariances c of summed moments by group."""
     n = F.col("n").cast("double")
     mean = [F.round(F.col(f"s{i}") / n, 9) for i in range(3)]
     cov = []
     for i, j in _PAIRS:
-        c = F.round(F.col(f"q{i}{j}") / n - F.col(f"s{i}") / n * (F.col(f"s{j}") / n), 9)
-        cov.append((c + F.lit(FLOORS[i] ** 2) if i == j else c).alias(f"c{i}{j}"))
+        cov.append(F.round(F.col(f"q{i}{j}") / n - F.col(f"s{i}") / n * (F.col(f"s{j}") / n), 9).alias(f"c{i}{j}"))
     return sums.select("grp", *(m.alias(f"m{i}") for i, m in enumerate(mean)), *cov)
 
 
 def _distance() -> Column:
-    """Squared Mahalanobis distance by the inverse of the 3 x 3 covariance matrix."""
-    c = {(i, j): F.col(f"c{min(i, j)}{max(i, j)}") for i in range(3) for j in range(3)}
+    """Squared Mahalanobis distance by the inverse of the 3 x 3 covariance matrix, its variances at least v.
+
+    Covariances lose a thousandth, so that the matrix has an inverse where statistics depend on each other."""
+    c = {(i, j): F.greatest(f"c{i}{i}", _V[i]) if i == j else F.col(f"c{min(i, j)}{max(i, j)}") * 0.999 for i in range(3) for j in range(3)}
     minor = lambda i, j: (lambda r, s: c[r[0], s[0]] * c[r[1], s[1]] - c[r[0], s[1]] * c[r[1], s[0]])([k for k in range(3) if k != i], [k for k in range(3) if k != j])
     det = sum((c[0, j] * minor(0, j) * (-1) ** j for j in range(1, 3)), c[0, 0] * minor(0, 0))
     y = [F.col(x) - F.col(f"m{i}") for i, x in enumerate(_X)]
@@ -105,12 +122,12 @@ def _class(d: Column) -> Column:
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """Estimates (grp, m0.., c00..) for rows of grp, x0, x1, x2."""
+    """Estimates (grp, m0.., c00..) for rows of grp, x0, x1, x2 and their noise v0, v1, v2."""
     # Exact medians of values to two places: as many counters as distinct values, in each task.
     rounded = [F.round(x, 2) for x in _X]
     centre = materialize(rows.groupBy("grp").agg(*(F.percentile(x, F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(rounded))), "medians")
     spread = rows.join(centre, "grp").groupBy("grp").agg(*(F.first(f"m{i}").alias(f"m{i}") for i in range(3)), *(F.percentile(F.abs(F.round(F.col(x) - F.col(f"m{i}"), 2)), F.lit(0.5)).alias(f"d{i}") for i, x in enumerate(_X)))
-    now = spread.select("grp", *(f"m{i}" for i in range(3)), *((F.pow(F.col(f"d{i}") * 1.4826, F.lit(2)) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
+    now = spread.select("grp", *(f"m{i}" for i in range(3)), *((F.pow(F.col(f"d{i}") * 1.4826, F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
     for step in range(STEPS + 1):
         now = materialize(now, "estimates")
         last = step == STEPS
@@ -140,8 +157,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     langs = cells.where(F.col("cell") < LEAST).groupBy("lang").agg(F.sum("cell").alias("pool"))
     group = F.when(F.col("cell") >= LEAST, F.concat_ws("\n", "lang", "source")).when(F.col("pool") >= LEAST, F.concat(F.col("lang"), F.lit("\n*"))).otherwise("*")
     groups = materialize(cells.join(langs, "lang", "left").select("lang", "source", group.alias("grp")), "groups")
-    held = rows.join(groups, ["lang", "source"], "left")
-    estimates = mcd(held.where("not base_failed").select("grp", *_X))
+    held = rows.join(groups, ["lang", "source"], "left").withColumns(dict(zip(_V, noise())))
+    estimates = mcd(held.where("not base_failed").select("grp", *_X, *_V))
     judged = held.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed") & (F.col("n_group") >= LEAST), F.round(_distance() / F.col("scale"), 6)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")

@@ -217,6 +217,28 @@ def test_quality_statistics(docs, none):
     assert rules.quality(none).count() == 0
 
 
+def test_quality_rejects_junk_and_keeps_clean_documents(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.choice([3, 4, 5, 6, 7])))
+    rows = [(i, " ".join(word() for _ in range(r.choice([40, 120, 400, 1500])))) for i in range(200)]
+    line = " ".join(word() for _ in range(10))
+    rows += [(200 + i, f"{t} # {line} {t[:30]} {line}") for i, (_, t) in enumerate(rows[:10])]
+    tables = [(300 + i, " ".join(f"{word()} |" for _ in range(60))) for i in range(20)]
+    junk = [(400 + i, " ".join(word() + "***" for _ in range(60))) for i in range(20)]
+    out = {x.doc_id: x for x in rules.quality(spark.createDataFrame([(i, t, "en", "s") for i, t in rows + tables + junk], "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[i].kept or out[i].base_failed for i, _ in rows)
+    assert not any(out[i].kept or out[i].base_failed for i, _ in tables + junk)
+
+
+def test_quality_of_labelled_documents(spark):
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.1/{name}.parquet")
+    out = rules.quality(read("documents")).where("not base_failed").join(read("labels").groupBy("doc_id").agg({"quality": "max"}).toDF("doc_id", "quality"), "doc_id", "left").toPandas()
+    junk = out[100 * out.n_symbols > 20 * out.n_words]
+    assert len(junk) > 600 and junk.kept.mean() < 0.02
+    clean = out[out.quality == 1]
+    assert len(clean) > 3000 and clean.kept.all()
+
+
 def test_toxicity(spark, none):
     r = random.Random(2)
     rows = [(i, " ".join(r.choice(["calm", "tree", "road", "sun", *(["vile", "nasty"] if i % 4 == 0 else [])]) for _ in range(40))) for i in range(200)]
