@@ -202,6 +202,25 @@ def test_mixing(docs, none):
     assert mixing.mix(none).count() == 0
 
 
+def test_mixing_keeps_its_share_beside_a_rare_cell(spark):
+    schema = "doc_id long, text string, lang string, source string"
+    many = [(i, "a b c d e " * (10 + i % 7), ["en", "de"][i % 5 == 0], f"s{i % 3}") for i in range(600)]
+    cells = {}
+    for rare in ([], [(1000, "one two", "xx", "rare")]):
+        out = mixing.weigh(spark.createDataFrame(many + rare, schema)).collect()
+        tokens = sum(x.n_tokens for x in out)
+        assert sum(x.probability * x.n_tokens for x in out) == pytest.approx(tokens / 3, rel=1e-3)
+        assert all(x.probability == 1 for x in out if x.doc_id == 1000)
+        cells[len(rare)] = {(x.source, x.lang, x.topic): x.probability for x in out if x.doc_id != 1000}
+    assert all(cells[1][c] == pytest.approx(p, rel=0.02) for c, p in cells[0].items())
+    for axis, part in (("source", {"s0": 0.5, "s1": 0.3, "s2": 0.2}), ("lang", {"en": 1.0})):
+        out = mixing.weigh(spark.createDataFrame(many, schema), targets={axis: part}).collect()
+        got = Counter()
+        for x in out:
+            got[x[axis]] += x.probability * x.n_tokens
+        assert all(got[k] / sum(got.values()) == pytest.approx(part.get(k, 0), abs=1e-3) for k in got)
+
+
 def test_quality_statistics(docs, none):
     out = rules.quality(docs)
     want = Counter()
