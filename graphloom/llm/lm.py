@@ -8,7 +8,8 @@ c(hw)/c(h), c(w)/N and 1/(V+1); a context never seen has the last two only.
 
 All counts are exact and cover all training documents. Each chunk of documents asks for the
 counts of its distinct n-grams (see chunkstore) and is then scored on its own. What the
-driver gathers is a histogram over a grid of fixed size (context bucket by log estimates).
+driver gathers is a histogram over a grid of fixed size (context bucket by log estimates), whose
+range is that of 64-bit counts: no estimate or context is clipped at any size of the corpus.
 
 Defined results: a null or empty text is one end token; a null id counts as the empty text in the
 checksum (training); repeated rows count as often as they occur; an empty table gives an empty
@@ -32,8 +33,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 _OUT = cs.empty_like(SCHEMA).schema
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 FOLDS, HELD_OUT, WEIGHTS_FROM = 5, 1, 0
-_GRID, _STEPS = 8, 160  # eight steps a factor of two, down to 2^-20
-_BUCKETS = 24
+_GRID, _STEPS = 8, 8 * 64 + 2  # eight steps a factor of two, down to 2^-64; and none
+_BUCKETS = 65
 
 
 def fold(doc_id) -> int:

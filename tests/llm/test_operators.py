@@ -195,6 +195,14 @@ def test_language_model(docs, none):
     assert lm.score_documents(none).count() == 0
 
 
+def test_language_model_grid_clips_nothing():
+    p = np.exp2(-np.linspace(0, 63.9, 500))
+    steps = lm._step(p)
+    assert steps.min() == 1 and steps.max() < lm._STEPS and lm._step(np.zeros(1)).tolist() == [0]
+    assert np.abs(np.log2(p) + (steps - 1) / lm._GRID).max() <= 0.5 / lm._GRID + 1e-9
+    assert np.diff(lm._bucket(np.array([3 << k for k in range(62)], np.uint64))).min() == 1
+
+
 def test_mixing(docs, none):
     out = mixing.weigh(docs).collect()
     assert len(out) == docs.count() and all(0 <= r.probability <= 1 for r in out)
