@@ -10,8 +10,10 @@ distinct shingles in those of the whole document.
 An item's minimum can only equal a window's if that shingle is in the window, so windows without
 any shingle that is some item's minimum are skipped, which leaves every collision.
 
-An item of contained share c agrees with its window in each minimum with probability c n / (|W| + (1-c) n),
-at least 0.18 here for c = 0.75: it is missed with probability below 1e-8 for 96 minima.
+An item of n shingles and contained share c agrees with its window of |W| shingles in each minimum with
+probability c n / (|W| + (1-c) n). Items of at most ``FEW`` shingles, for which this is least (1/12 for an item of 5
+words), collide by any of their shingles instead, which misses none. For the others it is at least 10/63
+with the default arguments (c n rounded up, n = 13), so an item is missed with probability below 1e-7 for 96 minima.
 
 Items go to tasks in blocks of at most ``ITEMS_EACH`` items of bounded size; further items take
 further passes over the documents, whatever their number.
@@ -35,6 +37,7 @@ from . import textkernel as tk
 from .jaccard import _texts, shingle_sets
 
 HASHES = 96
+FEW = 12
 ITEMS_EACH = 20_000
 BYTES_EACH = 16 << 20
 SCHEMA = "doc_id long, item_id long, n_shared long, n_item_shingles long"
@@ -50,18 +53,22 @@ class Index:
         self.k, self.ids = k, ids
         self.sets = shingle_sets(texts, k)
         sizes = [len(s) + k - 1 for s in self.sets]
-        self.bounds = sorted({self._bound(n) for n, s in zip(sizes, self.sets) if len(s)})
+        self.bounds = sorted({self._bound(n) for n, s in zip(sizes, self.sets) if len(s) > FEW})
         self.minima = {}
         for m in self.bounds:
             keys, items = [], []
             for i, s in enumerate(self.sets):
-                if len(s) and self._bound(sizes[i]) == m:
+                if len(s) > FEW and self._bound(sizes[i]) == m:
                     keys.append(self._signature(s))
                     items.append(np.full(HASHES, i))
             key, item = np.concatenate(keys), np.concatenate(items)
             order = np.argsort(key, kind="stable")
             self.minima[m] = key[order], item[order]
-        self.shingles = np.unique(np.concatenate([s for s in self.sets if len(s)])) if self.bounds else np.zeros(0, np.uint64)
+        few = [i for i, s in enumerate(self.sets) if 0 < len(s) <= FEW]
+        key = np.concatenate([np.zeros(0, np.uint64), *(self.sets[i] for i in few)])
+        order = np.argsort(key, kind="stable")
+        self.few = key[order], np.repeat(np.array(few, np.int64), [len(self.sets[i]) for i in few])[order]
+        self.shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]))
         self.bitmap = np.zeros(1 << _BITS, bool)
         self.bitmap[(self.shingles >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
@@ -85,6 +92,11 @@ class Index:
         found: set[int] = set()
         if not len(at):
             return found
+        key, item = self.few
+        mine = np.unique(g[at])
+        lo, hi = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
+        for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()):
+            found.update(item[a:b].tolist())
         for m in self.bounds:
             key, item = self.minima[m]
             width = 2 * m - self.k + 1

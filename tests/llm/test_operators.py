@@ -172,6 +172,15 @@ def test_containment(spark, docs):
     assert decontam.decontaminate(docs, frame).count() == sum(not hit(t) for _, t in rows_of(docs.select("doc_id", "text")))
 
 
+def test_short_items_are_never_missed():
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(8))
+    item = " ".join(word() for _ in range(5))
+    texts = [" ".join([*(word() for _ in range(r.randrange(3, 9))), item, *(word() for _ in range(9))]).encode() for _ in range(20_000)]
+    index = decontam.Index([7], [item.encode()], 5)
+    assert len(decontam.find(index, list(range(len(texts))), texts, 75)) == len(texts)
+
+
 def test_shards(docs, none):
     out = sharding.shard(docs, 7).collect()
     sizes = Counter(r.shard for r in out)
