@@ -77,11 +77,12 @@ WITH RECURSIVE bits(i, k, c) AS (
 ORACLES = {
     "op1_stratified_shards": _CRC
     + """, ranked AS (
-  SELECT *, coalesce('=' || source, '-') AS stratum, md5('graphloom:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS dice FROM sums
+  SELECT *, coalesce('=' || source, '-') AS stratum,
+    md5('graphloom:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32 || ':' || size || ':' || coalesce('=' || source, '-') || ':' || (row_number() OVER (PARTITION BY doc_id, source, text_crc32, size) - 1)) AS dice FROM sums
 ), spread AS (
-  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY dice, doc_id, text_crc32, size) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM ranked
+  SELECT *, (row_number() OVER (PARTITION BY stratum ORDER BY dice) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY stratum) AS fraction FROM ranked
 ), placed AS (
-  SELECT *, row_number() OVER (ORDER BY fraction, stratum, dice, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM spread
+  SELECT *, row_number() OVER (ORDER BY fraction, stratum, dice) - 1 AS pos, count(*) OVER () AS n FROM spread
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'rows' AS law, CAST(pos * 24 // n AS INTEGER) AS shard,
   CAST(pos - (pos * 24 // n * n + 23) // 24 AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM placed""",

@@ -6,12 +6,14 @@ numbers of rows, so each shard, and each stretch of it, has the sources in propo
 
 No task sorts a source or the corpus: the random key and the fractional rank are both spread evenly,
 so both are cut into many bins that are ranked on their own; the counts of the bins before
-(one row for each bin) give the offset. Only keys are shuffled, never texts.
+(one row for each bin) give the offset. The random key is a digest of source, id, checksum and size of the text,
+and for rows equal in all of these their number among them, so that null ids and copies spread as
+any others; that number is dealt by file, not in one task. Only keys are shuffled, never texts.
 
-Defined results: a null source is a source of its own; null ids and repeated rows are
-ordered by the other key columns, rows equal in all of them are interchangeable; a null text has
-size 8 and checksum 0; with fewer rows than shards the last shards are empty; an empty table
-gives an empty result; other columns aren't read, but for ``carry``.
+Defined results: a null source is a source of its own; a null id counts as an empty one in the random key; rows
+equal in id, source and text are interchangeable; a null text has size 8 and checksum 0, a very long one is
+read once for both; with fewer rows than shards the last shards are empty; an empty table
+gives an empty result; other columns aren't read, whatever their names, but for ``carry``.
 """
 
 from __future__ import annotations
@@ -43,17 +45,26 @@ def shard(docs: DataFrame, shards: int = 24, seed: str = SEED, id_col: str = "do
         (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         *(c.alias(n) for n, c in carry.items()),
-    ).withColumn("dice", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
-    keys = materialize(keys, "shard_keys")
-    strata = materialize(keys.groupBy("stratum").agg(F.count(F.lit(1)).alias("of")), "strata")
+    )
+    same = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size", "stratum")
+    keys = materialize(keys.withColumn("same", same), "shard_keys").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    strata = materialize(keys.groupBy("stratum").agg(F.count(F.lit(1)).alias("of")).withColumn("bins", F.ceil(F.col("of") / ROWS_EACH)), "strata")
     n = strata.agg(F.sum("of")).first()[0] or 0
     bins = max(1, math.ceil(n / ROWS_EACH))
 
+    # Rows that are equal in the key are numbered by file, so that none of the windows holds all of them.
+    twice = keys.groupBy("same").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("same")
+    files = keys.join(twice, "same", "left_semi").groupBy("same", "file").agg(F.count(F.lit(1)).alias("rows"))
+    files = materialize(_before(files, ["file"], ["same"]).select("same", "file", F.col("before").alias("earlier")), "copies")
+    number = F.row_number().over(W.partitionBy("same", "file").orderBy("row")) - 1 + F.coalesce("earlier", F.lit(0))
+    dice = F.md5(F.concat(F.lit(f"{seed}:"), "same", F.lit(":"), number.cast("string")).cast("binary"))
+    keys = keys.join(files, ["same", "file"], "left").withColumn("dice", dice).drop("same", "file", "row", "earlier")
+
     # Rank within the source: by bins of the random key.
-    dealt = keys.withColumn("bin", F.floor(F.conv(F.substring("dice", 1, 8), 16, 10).cast("long") * bins / F.lit(1 << 32)).cast("int"))
+    dealt = materialize(keys.join(strata, "stratum").withColumn("bin", F.floor(F.conv(F.substring("dice", 1, 8), 16, 10).cast("long") * F.col("bins") / F.lit(1 << 32)).cast("int")).drop("bins"), "dealt")
     sizes = dealt.groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("rows"))
-    offsets = _before(sizes, ["bin"], ["stratum"]).join(strata, "stratum").select("stratum", "bin", "before", "of")
-    inner = F.row_number().over(W.partitionBy("stratum", "bin").orderBy("dice", "doc_id", "text_crc32", "size"))
+    offsets = _before(sizes, ["bin"], ["stratum"]).select("stratum", "bin", "before")
+    inner = F.row_number().over(W.partitionBy("stratum", "bin").orderBy("dice"))
     ranked = dealt.withColumn("inner", inner).join(offsets, ["stratum", "bin"]).withColumn("fraction", (F.col("inner") + F.col("before") - F.lit(0.5)) / F.col("of"))
 
     # Position among all rows: by bins of the fractional rank.
@@ -61,7 +72,7 @@ def shard(docs: DataFrame, shards: int = 24, seed: str = SEED, id_col: str = "do
     steps = placed.groupBy("bin").agg(F.count(F.lit(1)).alias("rows"))
     # One row for each ROWS_EACH rows of input goes through this window.
     starts = _before(steps, ["bin"], []).select("bin", "before")
-    at = placed.withColumn("inner", F.row_number().over(W.partitionBy("bin").orderBy("fraction", "stratum", "dice", "doc_id", "text_crc32", "size"))).join(starts, "bin").withColumn("at", F.col("inner") + F.col("before") - 1)
+    at = placed.withColumn("inner", F.row_number().over(W.partitionBy("bin").orderBy("fraction", "stratum", "dice"))).join(starts, "bin").withColumn("at", F.col("inner") + F.col("before") - 1)
     number = F.floor(F.col("at") * shards / F.lit(max(n, 1))).cast("int")
     # The first position of shard s is ceil(s n / shards).
     first = F.ceil(number.cast("long") * F.lit(n) / F.lit(shards)).cast("long")
