@@ -1,21 +1,25 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are hashed terms (2^20 dims): the words of a text in lower case, and their prefixes
-of 4 to 8 letters; the value is log(1 + occurrences). Those are used whose presence is
-associated with the toxic label beyond ``Z_LEAST`` standard errors, ``FEATURES`` at most.
-Grades are 0 for documents that are not labelled toxic and 1, 2 or 3 for toxic ones, by how many of
-their words have such a term (below 3, below 6, more). The model is
-P(grade <= k) = sigmoid(threshold k - w x), with one weight vector for all thresholds; it outputs the
-expected grade and rejects a document if P(grade >= 1) > 1/2.
-
-The fit uses at most ``SAMPLE`` labelled documents, those with the smallest checksum of their
-id; statistics of terms are summed over them in counters of fixed size. Scoring is one pass over all
+of 4 to 8 letters; the value is log(1 + occurrences). Those are used whose presence and the toxic label
+depend on each other, either way: the root of the likelihood ratio is at least ``ROOT_LEAST`` (by chance less
+than one of all dims), one rule at any number of labels; there is no cap on their number.
+
+Labels are 0 or 1; no table names a severity. Grades are 0 for documents that are not labelled toxic, and 1, 2
+or 3 for toxic ones by the thirds of their margins, each given by a logistic model that was fitted without the
+document's own fold (of ``FOLDS``): how plainly what is toxic elsewhere shows in it. The model is
+P(grade <= k) = sigmoid(threshold k - w x), with one weight vector for all thresholds, fitted by L-BFGS on sparse
+rows; it outputs the expected grade and rejects a document if P(grade >= 1) > 1/2.
+
+The fit uses at most ``SAMPLE`` labelled rows, those with the smallest checksums of id and text (equal rows
+once); statistics of terms are summed over them in counters of fixed size. Scoring is one pass over all
 whole texts without a shuffle.
 
-Defined results: null and empty texts have no features and get the model's base rate; labels that are
-null, or of ids not in documents, are not used; of several labels of an id the largest
-counts; without both labels no document is rejected and severities are 0; null and repeated ids and
-repeated rows are scored as any others; empty tables give an empty result; other columns pass.
+Defined results: null and empty texts have no features and get the model's base rate; a very long text is read whole,
+and holds as many counters as it has features; labels that are null, or of ids not in documents, are not used; of
+several labels of an id the largest counts; all rows of a labelled id are labelled; without both labels no
+document is rejected and severities are 0; null and repeated ids and repeated rows are scored as any others; empty
+tables give an empty result; other columns pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ from pyspark.sql import functions as F
 from . import chunkstore as cs
 
 DIMS, PREFIXES = 1 << 20, (4, 5, 6, 7, 8)
-SAMPLE, FEATURES, SUPPORT, Z_LEAST = 20_000, 512, 8, 7.0
-GRADES = (3, 6)
+SAMPLE, ROOT_LEAST = 20_000, 5.0
+TOXIC_GRADES, FOLDS = 3, 3
 _CACHE = 300_000
 
 
@@ -42,101 +46,176 @@ def _dims(word: str) -> tuple[int, ...]:
 
 
 def _counts(text: str | None, known: dict[str, tuple[int, ...]], of) -> dict[int, int]:
-    """Occurrences of each feature, and of words with any under -1; known keeps what words give."""
+    """Occurrences of each feature; known keeps what words give."""
     out: dict[int, int] = {}
     if not text:
         return out
-    hits = 0
     for word in text.lower().split():
         hit = known.get(word)
         if hit is None:
             if len(known) >= _CACHE:
                 known.clear()
             hit = known[word] = of(word)
-        if hit:
-            hits += 1
-            for d in hit:
-                out[d] = out.get(d, 0) + 1
-    if hits:
-        out[-1] = hits
+        for d in hit:
+            out[d] = out.get(d, 0) + 1
     return out
 
 
+@dataclass
+class Sparse:
+    """A matrix of n rows by its entries."""
+
+    n: int
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.n)
+
+    def turned_times(self, r: np.ndarray, d: int) -> np.ndarray:
+        return np.bincount(self.column, self.value * r[self.row], d)
+
+    def only(self, rows: np.ndarray) -> Sparse:
+        number = np.cumsum(rows) - 1
+        kept = rows[self.row]
+        return Sparse(int(rows.sum()), number[self.row[kept]], self.column[kept], self.value[kept])
+
+
 @dataclass
 class Model:
     dims: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """Of each grade; x has a row for each document."""
-        return grade_probabilities(x @ self.weights, self.thresholds)
-
 
 def grade_probabilities(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
-    below = 1 / (1 + np.exp(-np.clip(thresholds[None, :] - score[:, None], -35, 35)))
+    below = _sigmoid(thresholds[None, :] - score[:, None])
     return np.diff(np.concatenate([np.zeros((len(score), 1)), below, np.ones((len(score), 1))], axis=1), axis=1)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, ridge: float = 1.0, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ascending thresholds by accelerated gradient descent on the log loss."""
-    n, d = x.shape
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
+
+
+def minimum(f, x: np.ndarray, rounds: int = 300, memory: int = 8, close: float = 1e-6) -> np.ndarray:
+    """Where f (value and gradient) is least: limited-memory quasi-Newton steps with a halving line search."""
+    value, g = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        if np.abs(g).max() < close:
+            break
+        step, used = -g, []
+        for s, y in reversed(past):
+            a = s @ step / (s @ y)
+            step = step - a * y
+            used.append(a)
+        if past:
+            s, y = past[-1]
+            step = step * (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(used)):
+            step = step + (a - y @ step / (s @ y)) * s
+        t = 1.0 if past else min(1.0, 1 / np.abs(g).sum())
+        while t > 1e-12:
+            new, h = f(x + t * step)
+            if new <= value + 1e-4 * t * (g @ step):
+                break
+            t /= 2
+        else:
+            break
+        s, y = t * step, h - g
+        x, value, g = x + s, new, h
+        if s @ y > 1e-12:
+            past = [*past[-memory + 1 :], (s, y)]
+    return x
+
+
+def fit_ordinal(x: Sparse, d: int, grade: np.ndarray, grades: int, ridge: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ascending thresholds with the least log loss and ridge / 2 times the squared weights."""
+    n = x.n
     share = np.clip(np.cumsum(np.bincount(grade, minlength=grades))[:-1] / n, 1e-4, 1 - 1e-4)
     first = np.log(share / (1 - share))
-    # Thresholds are the first one and the logs of the steps between them.
-    free = np.concatenate([np.zeros(d), first[:1], np.log(np.maximum(np.diff(first), 1e-2))])
-    m, v = np.zeros_like(free), np.zeros_like(free)
-    for t in range(1, rounds + 1):
-        w, steps = free[:d], np.exp(free[d + 1 :])
-        th = free[d] + np.concatenate([[0.0], np.cumsum(steps)])
-        s = x @ w
-        edge = np.concatenate([np.full((n, 1), -np.inf), np.broadcast_to(th, (n, grades - 1)), np.full((n, 1), np.inf)], axis=1)
-        row = np.arange(n)
+    row = np.arange(n)
+
+    def thresholds(free):
+        # The first one, and the logs of the steps between them.
+        return free[d] + np.concatenate([[0.0], np.cumsum(np.exp(free[d + 1 :]))])
+
+    def loss(free):
+        w, s = free[:d], x.times(free[:d])
+        edge = np.concatenate([np.full((n, 1), -np.inf), np.broadcast_to(thresholds(free), (n, grades - 1)), np.full((n, 1), np.inf)], axis=1)
         hi, lo = edge[row, grade + 1] - s, edge[row, grade] - s
-        f = lambda z: 1 / (1 + np.exp(-np.clip(z, -35, 35)))
-        p = np.maximum(f(hi) - f(lo), 1e-12)
-        dhi, dlo = f(hi) * (1 - f(hi)) / p, f(lo) * (1 - f(lo)) / p
+        a, b = _sigmoid(hi), _sigmoid(lo)
+        p = np.maximum(a - b, 1e-300)
+        dhi, dlo = a * (1 - a) / p, b * (1 - b) / p
         dhi[np.isinf(hi)], dlo[np.isinf(lo)] = 0, 0
-        gw = x.T @ (dhi - dlo) + ridge * w
         gth = np.array([-dhi[grade == k].sum() + dlo[grade == k + 1].sum() for k in range(grades - 1)])
         tail = np.cumsum(gth[::-1])[::-1]
-        g = np.concatenate([gw, tail[:1], tail[1:] * steps]) / n
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        free = free - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-9)
-    th = free[d] + np.concatenate([[0.0], np.cumsum(np.exp(free[d + 1 :]))])
-    return free[:d], th
+        # Steps of grades without documents are held by a weak pull.
+        steps = free[d + 1 :]
+        g = np.concatenate([x.turned_times(dhi - dlo, d) + ridge * w, tail[:1], tail[1:] * np.exp(steps) + 1e-3 * steps])
+        return (-np.log(p).sum() + ridge / 2 * (w @ w) + 5e-4 * (steps @ steps)) / n, g / n
+
+    free = minimum(loss, np.concatenate([np.zeros(d), first[:1], np.log(np.maximum(np.diff(first), 1e-2))]))
+    return free[:d], thresholds(free)
+
+
+def severity_grades(x: Sparse, d: int, toxic: np.ndarray, fold: np.ndarray) -> np.ndarray:
+    """0 for rows that are not toxic; 1, 2, .. by the quantiles of the toxic rows' out-of-fold margins."""
+    margin = np.zeros(x.n)
+    for k in range(FOLDS):
+        rest = fold != k
+        if len(np.unique(toxic[rest])) == 2:
+            w, th = fit_ordinal(x.only(rest), d, toxic[rest].astype(np.int64), 2)
+            margin[~rest] = x.only(~rest).times(w) - th[0]
+    edges = np.quantile(margin[toxic], np.arange(1, TOXIC_GRADES) / TOXIC_GRADES)
+    return np.where(toxic, 1 + np.searchsorted(edges, margin, side="left"), 0)
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text, toxic, size and sum of SAMPLE labelled rows at most."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    place = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     # SAMPLE rows of an id and a label: bounded, so sent to all tasks.
-    drawn = marks.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.crc32(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(SAMPLE)
-    return rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic")
+    drawn = marks.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(place, "doc_id").limit(SAMPLE)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    rows = rows.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "toxic", F.length(text).alias("size"), F.crc32(text).alias("sum"))
+    # An id may have any number of rows: they are drawn as well, by their keys; equal ones once.
+    key = ["doc_id", "size", "sum"]
+    chosen = rows.select(*key).distinct().orderBy(place, *key).limit(SAMPLE)
+    return rows.join(F.broadcast(chosen), key, "left_semi").dropDuplicates(key)
 
 
 def _association(batches):
     total = np.zeros((2, DIMS), np.uint32)
-    n = [0, 0]
     known: dict = {}
     for batch in batches:
         for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            found = _counts(text, known, _dims)
-            found.pop(-1, None)
-            hit = np.fromiter(found, np.int64)
-            total[int(toxic > 0), hit] += 1
-            n[int(toxic > 0)] += 1
-    if sum(n):
+            total[int(toxic > 0), np.fromiter(_counts(text, known, _dims), np.int64)] += 1
+    if known:
         for i, part in enumerate(np.split(total, 16, axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n if i == 0 else [0, 0]], pa.list_(pa.int64())), pa.array([cs.deflate(part.tobytes())], pa.binary())], names=["block", "n", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([cs.deflate(part.tobytes())], pa.binary())], names=["block", "data"])
 
 
-def _choose(group: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(cs.inflate(x.as_py()), np.uint32).reshape(2, -1).astype(np.int64) for x in group.column("data"))
-    base = group.column("block")[0].as_py() * (DIMS // 16)
-    at = np.flatnonzero(total[1] >= min(SUPPORT, 3))
-    n = np.sum(group.column("n").to_pylist(), axis=0)
-    return pa.table({"dim": pa.array(at + base, pa.int64()), "clean": pa.array(total[0, at], pa.int64()), "toxic": pa.array(total[1, at], pa.int64()), "n": pa.array([n.tolist()] * len(at), pa.list_(pa.int64()))})
+def _choose(a: int, b: int):
+    def run(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(cs.inflate(x.as_py()), np.uint32).reshape(2, -1).astype(np.int64) for x in group.column("data"))
+        base = group.column("block")[0].as_py() * (DIMS // 16)
+        at = np.flatnonzero(total.any(axis=0))
+        return pa.table({"dim": pa.array(base + at[associated(total[1, at], total[0, at], a, b)], pa.int64())})
+
+    return run
+
+
+def associated(toxic: np.ndarray, clean: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Whether terms in so many of a toxic and of b clean documents depend on the label (log-likelihood ratio)."""
+    n, total = a + b, 0.0
+    for seen, of in ((toxic, a), (clean, b)):
+        for part, whole in ((seen, toxic + clean), (of - seen, n - toxic - clean)):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total = total + np.where(part > 0, part * np.log(part * (n / of) / np.maximum(whole, 1)), 0.0)
+    return np.sqrt(np.maximum(2 * total, 0)) >= ROOT_LEAST
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
@@ -147,14 +226,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     a, b = size.get(True, 0), size.get(False, 0)
     if not a or not b:
         return None
-    counts = rows.mapInArrow(_association, "block int, n array<long>, data binary").groupBy("block").applyInArrow(_choose, "dim long, clean long, toxic long, n array<long>")
-    share = (F.col("toxic") + F.col("clean")) / F.lit(a + b)
-    z = (F.col("toxic") / a - F.col("clean") / b) / F.sqrt(share * (1 - share) * (1 / a + 1 / b) + 1e-12)
-    least = min(SUPPORT, max(3, a // 20))
-    best = counts.select("dim", z.alias("z"), "toxic").where((F.col("toxic") >= least) & (F.col("z") >= min(Z_LEAST, 0.5 * (a + b) ** 0.5))).orderBy(F.desc("z"), "dim").limit(FEATURES).collect()
-    if not best:
+    counts = rows.select("doc_id", "text", "toxic").mapInArrow(_association, "block int, data binary").groupBy("block").applyInArrow(_choose(a, b), "dim long").toArrow()
+    if not counts.num_rows:
         return None
-    dims = np.array(sorted(r.dim for r in best))
+    dims = np.sort(counts.column("dim").to_numpy())
     number = {int(d): i for i, d in enumerate(dims)}
 
     def vectors(batches):
@@ -162,19 +237,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         of = lambda w: tuple(number[d] for d in _dims(w) if d in number)
         for batch in batches:
             found = [_counts(t, known, of) for t in batch.column(1).to_pylist()]
-            hits = pa.array([f.pop(-1, 0) for f in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), hits, pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["toxic", "hits", "at", "times"])
-
-    got = rows.mapInArrow(vectors, "toxic long, hits long, at array<int>, times array<int>").toArrow()
-    x = np.zeros((got.num_rows, len(dims)), np.float32)
-    for i, (at, times) in enumerate(zip(got.column("at").to_pylist(), got.column("times").to_pylist())):
-        if at:
-            x[i, at] = np.log1p(times)
+            fold = pa.array([zlib.crc32(b"fold" + str(x).encode()) % FOLDS for x in batch.column(0).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), *(batch.column(i).cast(pa.int64()) for i in (2, 3, 4)), fold, pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["id", "toxic", "size", "sum", "fold", "at", "times"])
+
+    # SAMPLE rows of a few features each; in an order of their own, so that the fit does not depend on the tasks'.
+    got = rows.select("doc_id", "text", "toxic", "size", "sum").mapInArrow(vectors, "id string, toxic long, size long, sum long, fold int, at array<int>, times array<int>").toArrow().sort_by([("id", "ascending"), ("size", "ascending"), ("sum", "ascending")])
+    at = got.column("at").combine_chunks()
+    x = Sparse(got.num_rows, np.repeat(np.arange(got.num_rows), at.value_lengths().to_numpy()), at.flatten().to_numpy(), np.log1p(got.column("times").combine_chunks().flatten().to_numpy()))
     toxic = got.column("toxic").to_numpy() > 0
-    grade = np.where(toxic, 1 + np.searchsorted(GRADES, got.column("hits").to_numpy(), side="right"), 0)
-    # In an order of its own, so that the fit does not depend on the tasks'.
-    order = np.lexsort((x.sum(axis=1), grade))
-    weights, thresholds = fit_ordinal(x[order].astype(float), grade[order], len(GRADES) + 2)
+    grade = severity_grades(x, len(dims), toxic, got.column("fold").to_numpy())
+    weights, thresholds = fit_ordinal(x, len(dims), grade, TOXIC_GRADES + 1)
     return Model(dims, weights, thresholds)
 
 
@@ -191,7 +263,7 @@ def _scorer(model: Model | None):
         s = np.zeros(len(texts))
         for i, t in enumerate(texts):
             found = _counts(t, known, of)
-            if found.pop(-1, 0):
+            if found:
                 s[i] = model.weights[list(found)] @ np.log1p(list(found.values()))
         p = grade_probabilities(s, model.thresholds)
         return p @ np.arange(p.shape[1]), p.argmax(axis=1).astype(np.int32), 1 - p[:, 0]
