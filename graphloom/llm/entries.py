@@ -29,8 +29,10 @@ def op4_doubling_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.scratch_archive(spark)
     warc.archive(table(spark, sf_dir, "pages"), path)
-    full = warc.read(spark, path, kind="response").select(F.col("record_id").alias("page_id"), F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
-    other = warc.read(spark, path, payload=False, kind="revisit").select(F.col("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+    page = warc.page_of(F.col("record_id")).alias("page_id")
+    full = warc.read(spark, path, kind="response").select(page, F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"), F.col("type").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    digest = F.substring_index("digest", ":", -1).alias("payload_digest")
+    other = warc.read(spark, path, payload=False, kind="revisit").select(page, "payload_bytes", digest, F.col("type").alias("record_type"), warc.page_of(F.col("refers_to")).alias("refers_to"))
     return full.unionByName(other)
 
 

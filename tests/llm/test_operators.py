@@ -290,9 +290,9 @@ def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "u:1", "x" * 200), (2, "u:2", "x" * 200), (3, None, None), (4, "u\r\n4", "é" * 60), (5, "u:5", "short"), (6, "u:6", "short")]
     path = f"file://{tmp_path}/a"
     warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
-    got = {r.record_id: r for r in warc.read(spark, path).collect()}
+    got = {int(r.record_id.removeprefix('urn:page:')): r for r in warc.read(spark, path).collect()}
     assert {i: bytes(got[i].payload).decode() for i in (1, 3, 4, 5, 6)} == {1: "x" * 200, 3: "", 4: "é" * 60, 5: "short", 6: "short"}
-    assert (got[2].type, got[2].refers_to, got[2].payload_bytes, bytes(got[2].payload)) == ("revisit", 1, 200, b"")
+    assert (got[2].type, got[2].refers_to, got[2].payload_bytes, bytes(got[2].payload)) == ("revisit", "urn:page:1", 200, b"")
     assert warc.read(spark, path, payload=False, kind="revisit").count() == 1
     assert warc.read(spark, path).where("type = 'response' and payload_bytes > 100").count() == 2
 
