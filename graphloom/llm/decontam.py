@@ -1,197 +1,214 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified exactly.
 
-Items are partitioned by the number of their words (classes whose bound doubles). For a class with
+Items are partitioned by the number of their shingles (classes whose bound in words doubles). For a class with
 bound m, documents are searched in windows of 2m words, m apart, so that each passage of at most m
 words lies whole in a window of comparable size: an item contained in the window then has a Jaccard
 similarity with it that does not fall with the length of the document. Item and window collide if
 they agree in one of ``HASHES`` minima; a collision is verified by exact containment of the item's
 distinct shingles in those of the whole document.
 
-An item's minimum can only equal a window's if that shingle is in the window, so windows without
-any shingle that is some item's minimum are skipped, which leaves every collision.
+1. Items are hashed by tasks: their shingles, and as keys their minima (with class and function). A
+   bitmap of all shingles of items, 2^``BITS`` bits whatever their number, goes to all tasks.
+2. One pass over the documents finds the shingles that the bitmap has (few documents have any), and the minima
+   of the windows around them. A minimum that the bitmap lacks is no item's, so it is left out. What is found is
+   written as a table: a row for each document that has something.
+3. Documents and items are joined by key; of the pairs, the shared shingles are joined and counted. These are
+   shuffle joins (Spark broadcasts a side that it measures as small); nothing but the bitmap goes to the driver.
 
 An item of n shingles and contained share c agrees with its window of |W| shingles in each minimum with
 probability c n / (|W| + (1-c) n). Items of at most ``FEW`` shingles, for which this is least (1/12 for an item of 5
 words), collide by any of their shingles instead, which misses none. For the others it is at least 10/63
 with the default arguments (c n rounded up, n = 13), so an item is missed with probability below 1e-7 for 96 minima.
-
-Items go to tasks in blocks of at most ``ITEMS_EACH`` items of bounded size; further items take
-further passes over the documents, whatever their number.
+That holds for items that lie together; of those whose shingles are spread over more than a window it finds fewer.
 
 Defined results: items and documents without words have no shingles and match nothing; fewer words
 than ``words_each`` are one shingle; null texts match nothing; null ids are returned as null;
-repeated rows each get their pairs; empty tables give an empty result; other columns aren't read.
+repeated rows each get their pairs; very long texts are searched whole, in one task each; empty tables give
+an empty result; other columns aren't read, whatever their names, and pass ``decontaminate``.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import chunkstore as cs
 from . import textkernel as tk
+from .common import materialize
 from .jaccard import _texts, shingle_sets
 
 HASHES = 96
 FEW = 12
-ITEMS_EACH = 20_000
-BYTES_EACH = 16 << 20
+BITS = 26
 SCHEMA = "doc_id long, item_id long, n_shared long, n_item_shingles long"
-_OUT = cs.empty_like(SCHEMA).schema
-_SEEDS = tk.mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-_BITS = 22
-
-
-class Index:
-    """Items of one block: their minima by size class, and their shingles for the verification."""
-
-    def __init__(self, ids: list, texts: list[bytes], k: int):
-        self.k, self.ids = k, ids
-        self.sets = shingle_sets(texts, k)
-        sizes = [len(s) + k - 1 for s in self.sets]
-        self.bounds = sorted({self._bound(n) for n, s in zip(sizes, self.sets) if len(s) > FEW})
-        self.minima = {}
-        for m in self.bounds:
-            keys, items = [], []
-            for i, s in enumerate(self.sets):
-                if len(s) > FEW and self._bound(sizes[i]) == m:
-                    keys.append(self._signature(s))
-                    items.append(np.full(HASHES, i))
-            key, item = np.concatenate(keys), np.concatenate(items)
-            order = np.argsort(key, kind="stable")
-            self.minima[m] = key[order], item[order]
-        few = [i for i, s in enumerate(self.sets) if 0 < len(s) <= FEW]
-        key = np.concatenate([np.zeros(0, np.uint64), *(self.sets[i] for i in few)])
-        order = np.argsort(key, kind="stable")
-        self.few = key[order], np.repeat(np.array(few, np.int64), [len(self.sets[i]) for i in few])[order]
-        self.shingles = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.sets]))
-        self.bitmap = np.zeros(1 << _BITS, bool)
-        self.bitmap[(self.shingles >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+_U = np.uint64
+_SEEDS = tk.mix(np.arange(1, HASHES + 1, dtype=_U) * _U(0xA0761D6478BD642F))
+_BLOCKS = 256
 
-    @staticmethod
-    def _bound(n: int) -> int:
-        return 8 << max(0, int(np.ceil(np.log2(max(n, 8) / 8))))
+
+def bound(n_shingles: int, k: int) -> int:
+    """The class of items of so many shingles: its bound in words."""
+    return 8 << max(0, int(np.ceil(np.log2(max(n_shingles + k - 1, 8) / 8))))
+
+
+def _minima(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each hash function, the least value of the shingles, and which of them has it."""
+    values = tk.mix(s[None, :] ^ _SEEDS[:, None])
+    at = values.argmin(axis=1)
+    return values[np.arange(HASHES), at], at
+
+
+def _keys(minima: np.ndarray, m: int) -> np.ndarray:
+    # Class and function go into the key, so minima only meet their own kind.
+    return tk.mix(minima ^ _SEEDS ^ _U(m))
+
+
+def item_keys(s: np.ndarray, k: int) -> np.ndarray:
+    """Keys by which documents find an item of shingles s."""
+    return s if len(s) <= FEW else _keys(_minima(s)[0], bound(len(s), k))
+
+
+class Bitmap:
+    """Which shingles may be an item's."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
 
     @staticmethod
-    def _values(s: np.ndarray) -> np.ndarray:
-        """Of each hash function (row), the values of the shingles."""
-        return tk.mix(s[None, :] ^ _SEEDS[:, None])
-
-    def _signature(self, s: np.ndarray) -> np.ndarray:
-        # The function's number goes into the key, so minima only meet their own kind.
-        return self._values(s).min(axis=1) ^ _SEEDS
-
-    def search(self, g: np.ndarray) -> set[int]:
-        """Items that collide with a window of the document whose shingles in order are g."""
-        at = np.flatnonzero(self.bitmap[(g >> np.uint64(64 - _BITS)).astype(np.int64)])
-        at = at[np.isin(g[at], self.shingles)] if len(at) else at
-        found: set[int] = set()
-        if not len(at):
-            return found
-        key, item = self.few
-        mine = np.unique(g[at])
-        lo, hi = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
-        for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-            found.update(item[a:b].tolist())
-        for m in self.bounds:
-            key, item = self.minima[m]
-            width = 2 * m - self.k + 1
-            for w in np.unique(np.concatenate([at // m, np.maximum(at // m - 1, 0)])).tolist():
-                window = g[w * m : w * m + width]
-                if not len(window):
-                    continue
-                mine = self._signature(window)
-                lo, hi = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
-                for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                    found.update(item[a:b].tolist())
-        return found
-
-
-def find(index: Index, doc_ids: list, texts: list[bytes], percent: int) -> list[tuple]:
+    def places(s: np.ndarray) -> np.ndarray:
+        return (s >> _U(64 - BITS)).astype(np.int64)
+
+    def has(self, s: np.ndarray) -> np.ndarray:
+        at = self.places(s)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def document_keys(g: np.ndarray, hit: np.ndarray, bounds: list[int], k: int) -> np.ndarray:
+    """Keys of a document whose shingles in order are g, of which the bitmap has ``hit``."""
+    at = np.flatnonzero(hit)
+    found = [np.unique(g[at])]
+    for m in bounds:
+        width = 2 * m - k + 1
+        for w in np.unique(np.concatenate([at // m, np.maximum(at // m - 1, 0)])).tolist():
+            window = g[w * m : w * m + width]
+            least, which = _minima(window)
+            found.append(_keys(least, m)[hit[w * m : w * m + width][which]])
+    return np.unique(np.concatenate(found))
+
+
+def search(bitmap: Bitmap, bounds: list[int], texts: list[bytes], k: int):
+    """(number, distinct shingles that the bitmap has, keys) of the texts that have any."""
     buf = np.frombuffer(b"\n".join(texts), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes + 1) - sizes - 1
     starts, _, h = tk.words(buf, lower=True)
     first, last = np.searchsorted(starts, begin), np.searchsorted(starts, begin + sizes)
-    every = tk.grams(h, index.k)
+    every = tk.grams(h, k)
     # One look at all shingles: most documents hold none of the items'.
-    hit = np.zeros(len(starts) + 1, np.int64)
-    hit[1 : len(every) + 1] = index.bitmap[(every >> np.uint64(64 - _BITS)).astype(np.int64)]
-    hit = np.cumsum(hit)
-    rows = []
-    for doc, a, b in zip(doc_ids, first.tolist(), last.tolist()):
-        if b - a < index.k:
-            g = tk.grams(h[a:b], b - a) if b > a else every[:0]
-        elif hit[min(b - index.k + 1, len(every))] == hit[a]:
-            continue
-        else:
-            g = every[a : b - index.k + 1]
-        items = index.search(g)
-        if items:
-            whole = np.unique(g)
-            for i in sorted(items):
-                s = index.sets[i]
-                shared = int(np.isin(s, whole, assume_unique=True).sum())
-                if 100 * shared >= percent * len(s):
-                    rows.append((doc, index.ids[i], shared, len(s)))
-    return rows
-
-
-def _blocks(items: DataFrame, id_col: str, text_col: str):
-    """Lists of items, of bounded number and size each, read one after the other."""
-    ids, texts, held = [], [], 0
-    for row in items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).toLocalIterator():
-        if row[1] is not None:
-            ids.append(row[0])
-            texts.append(row[1].encode())
-            held += len(texts[-1])
-        if len(ids) >= ITEMS_EACH or held >= BYTES_EACH:
-            yield ids, texts
-            ids, texts, held = [], [], 0
-    if ids:
-        yield ids, texts
+    hit = bitmap.has(every)
+    upto = np.concatenate([[0], np.cumsum(hit)])
+    for i, (a, b) in enumerate(zip(first.tolist(), last.tolist())):
+        if b - a >= k:
+            if upto[b - k + 1] > upto[a]:
+                part = hit[a : b - k + 1]
+                yield i, np.unique(every[a : b - k + 1][part]), document_keys(every[a : b - k + 1], part, bounds, k)
+        elif b > a:
+            g = tk.grams(h[a:b], b - a)
+            if bitmap.has(g)[0]:
+                yield i, g, g
+
+
+def _long(x: np.ndarray) -> np.ndarray:
+    return x.view(np.int64)
+
+
+def _items(items: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """row, item_id, n, m, shingles and keys of each item that has shingles."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            ids = batch.column(0)
+            for a, b, texts in _texts(batch, 1):
+                sets = shingle_sets(texts, k)
+                kept = [i for i, s in enumerate(sets) if len(s)]
+                rows = [(number + i, ids[a + i].as_py(), len(sets[i]), 0 if len(sets[i]) <= FEW else bound(len(sets[i]), k), _long(sets[i]), _long(item_keys(sets[i], k))) for i in kept]
+                number += b - a
+                yield from cs.rows_to_arrow(rows, arrow).to_batches()
+
+    schema = "row long, item_id long, n long, m long, shingles array<long>, keys array<long>"
+    arrow = cs.arrow_schema(schema)
+    return materialize(items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema), "items")
+
+
+def _bitmap(items: DataFrame) -> np.ndarray:
+    """Bits of all shingles of items, merged by tasks block by block."""
+
+    def mark(batches):
+        bits = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            bits[Bitmap.places(batch.column(0).flatten().to_numpy(zero_copy_only=False).view(_U))] = True
+        for i, part in enumerate(np.split(np.packbits(bits, bitorder="little"), _BLOCKS)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([cs.deflate(part.tobytes())], pa.binary())], names=["block", "data"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        total = np.bitwise_or.reduce([np.frombuffer(cs.inflate(x.as_py()), np.uint8) for x in group.column("data")])
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "data": pa.array([cs.deflate(total.tobytes())], pa.binary())})
+
+    out = np.zeros((_BLOCKS, (1 << BITS) // 8 // _BLOCKS), np.uint8)
+    for row in items.select("shingles").mapInArrow(mark, "block int, data binary").groupBy("block").applyInArrow(merge, "block int, data binary").collect():
+        out[row.block] = np.frombuffer(cs.inflate(bytes(row.data)), np.uint8)
+    return out.ravel()
+
+
+def _pairs(rows: DataFrame, items: DataFrame, percent: int, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """rows: a struct ``tag`` and text. Tables of the documents that have something (row, tag) and of the
+    items, and the pairs (doc, item, shared) that are contained."""
+    spark = rows.sparkSession
+    it = _items(items, k, id_col, text_col)
+    bounds = sorted(r.m for r in it.where("m > 0").select("m").distinct().collect())  # a class for each doubling of length
+    sent = spark.sparkContext.broadcast(_bitmap(it))  # 8 MB, whatever the items
+    schema = f"row long, tag {rows.schema['tag'].dataType.simpleString()}, hits array<long>, keys array<long>"
+
+    def run(batches):
+        bitmap = Bitmap(sent.value)
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for a, b, texts in _texts(batch, 1):
+                found = list(search(bitmap, bounds, texts, k))
+                if found:
+                    at = pa.array([a + i for i, _, _ in found])
+                    lists = [pa.array([_long(f[j]) for f in found], pa.list_(pa.int64())) for j in (1, 2)]
+                    yield pa.RecordBatch.from_arrays([pa.array([number + i for i, _, _ in found], pa.int64()), batch.column(0).take(at), *lists], names=["row", "tag", "hits", "keys"])
+                number += b - a
+
+    docs = materialize(rows.select("tag", "text").mapInArrow(run, schema), "touched")
+    pairs = docs.select(F.col("row").alias("doc"), F.explode("keys").alias("key")).join(it.select(F.col("row").alias("item"), F.explode("keys").alias("key")), "key").select("doc", "item").distinct()
+    wanted = pairs.join(it.select(F.col("row").alias("item"), "n", F.explode("shingles").alias("s")), "item")
+    shared = wanted.join(docs.select(F.col("row").alias("doc"), F.explode("hits").alias("s")), ["doc", "s"]).groupBy("doc", "item", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return docs, it, shared.where(100 * F.col("shared") >= percent * F.col("n"))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = 75, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs (SCHEMA): items of which at least that share of distinct shingles is in the document."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = []
-    for ids, texts in _blocks(items, item_id, item_text):
-        sent = spark.sparkContext.broadcast((ids, texts))
-
-        def run(batches, sent=sent):
-            index = Index(*sent.value, words_each)
-            for batch in batches:
-                doc_ids = batch.column(0).to_pylist()
-                for a, b, block in _texts(batch, 1):
-                    yield from cs.rows_to_arrow(find(index, doc_ids[a:b], block, percent), _OUT).to_batches()
-
-        out.append(rows.mapInArrow(run, SCHEMA))
-    return reduce(DataFrame.union, out) if out else spark.createDataFrame([], SCHEMA)
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("doc_id")).alias("tag"), F.col(text_col).cast("string").alias("text"))
+    found, it, pairs = _pairs(rows, items, percent, words_each, item_id, item_text)
+    named = pairs.join(found.select(F.col("row").alias("doc"), "tag.doc_id"), "doc").join(it.select(F.col("row").alias("item"), "item_id"), "item")
+    return named.select("doc_id", "item_id", F.col("shared").alias("n_shared"), F.col("n").alias("n_item_shingles"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, percent: int = 75, words_each: int = 5, id_col: str = "doc_id", text_col: str = "text", item_text: str = "text") -> DataFrame:
-    """docs without the rows that contain an item; all columns as they were."""
-    spark = docs.sparkSession
-    kept = docs
-    for ids, texts in _blocks(items.select(F.lit(0).cast("long").alias("i"), F.col(item_text).alias("t")), "i", "t"):
-        sent = spark.sparkContext.broadcast((ids, texts))
-        at = kept.columns.index(text_col)
-        kind = kept.schema
-
-        def run(batches, sent=sent, at=at):
-            index = Index(*sent.value, words_each)
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for a, b, block in _texts(batch, at):
-                    for row in find(index, range(a, b), block, percent):
-                        clean[row[0]] = False
-                yield batch.filter(pa.array(clean))
-
-        kept = kept.mapInArrow(run, kind)
-    return kept
+    """docs without the rows that contain an item; all columns as they were. Rows of equal text share their fate."""
+    text = F.col(text_col).cast("string")
+    digest = [F.xxhash64(F.lit(i), text) for i in (1, 2)]  # 128 bits name a text
+    rows = docs.select(F.struct(digest[0].alias("x"), digest[1].alias("y")).alias("tag"), text.alias("text"))
+    found, _, pairs = _pairs(rows, items.select(F.lit(0).cast("long").alias("i"), F.col(item_text).alias("t")), percent, words_each, "i", "t")
+    names = ["x", "y"]
+    while any(c.lower() in names for c in docs.columns):
+        names = [f"_{n}" for n in names]
+    gone = found.join(pairs.select(F.col("doc").alias("row")), "row", "left_semi").select(F.col("tag.x").alias(names[0]), F.col("tag.y").alias(names[1])).distinct()
+    return docs.join(materialize(gone, "contaminated"), (digest[0] == F.col(names[0])) & (digest[1] == F.col(names[1])), "left_anti")
