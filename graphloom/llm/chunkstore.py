@@ -170,14 +170,15 @@ def answer(asked: DataFrame, counters: int, reply: Callable[[list[np.ndarray], n
     return asked.groupBy("pid").applyInArrow(run, ASK_SCHEMA)
 
 
-def by_chunk(base: Store, answers: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """function(chunk, {pid: data}) -> arrow table, for each chunk with what came back to it."""
+def by_chunk(base: Store, answers: DataFrame, function: Callable, schema: str, sized: bool = False) -> DataFrame:
+    """function(chunk, {pid: data}) -> arrow table, for each chunk with what came back to it (sized: {pid: (size, data)})."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = next(chunks_in(left), None)
         if chunk is None:
             return empty_like(schema)
-        return function(chunk, dict(zip(right.column("pid").to_pylist(), right.column("data").to_pylist())))
+        data = right.column("data").to_pylist()
+        return function(chunk, dict(zip(right.column("pid").to_pylist(), zip(right.column("size").to_pylist(), data) if sized else data)))
 
     return base.df.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 

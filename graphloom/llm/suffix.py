@@ -3,20 +3,26 @@
 1. Every window of ``min_bytes`` bytes names an anchor, that k-gram in it with the smallest hash.
    Equal windows name equal anchors, so a window whose anchor occurs once is not repeated.
 2. For each anchor that occurs twice or more, the stretch of text under the windows that name it
-   goes to the partition of the anchor's key. Equal stretches are joined, with their number.
-3. In a partition an enhanced suffix array (order and common-prefix lengths) of the stretches is
+   goes to the partition of the anchor's key, once for each chunk that has it; where it occurs stays with the chunk.
+3. In a partition an enhanced suffix array (order and common-prefix lengths) of the distinct stretches is
    built by rank doubling; a stack scan visits its tree of common-prefix intervals. An interval
    of at least ``min_bytes`` whose occurrences have different bytes on the left is a maximal
-   repeat: it is output with all its occurrences. An edge of a stretch counts as different.
-4. Occurrences go back to their chunk, where their union is removed.
+   repeat: it is a group, with all its occurrences. An edge of a stretch counts as different.
+4. Groups go back to the chunks, which put their own places to them (``maximal_repeats``); the union of the
+   occurrences is removed (``dedup_suffixes``).
 
 A repeat longer than a stretch is output as overlapping pieces, one for each anchor; the
-union of its bytes is the same. Memory of a task: the stretches of one partition, whose number
-follows the corpus, equal stretches of a chunk being sent once.
+union of its bytes is the same. Memory of a task: the distinct stretches of one partition, whose number
+follows the corpus.
+Anchors with more than ``HOT`` occurrences are divided: their windows are classed by where in them the anchor
+lies, in steps of ``STEP`` bytes, and each class is keyed by the bytes that all its windows have in
+common, all but ``STEP`` of a window. So a common line with neighbours of its own in each document is spread by
+these neighbours; what still meets has ``min_bytes - STEP`` bytes in common and is sent as STEP bytes more than a window.
 
 Defined results: a null text is empty; texts shorter than ``min_bytes`` lose nothing; repeated
-rows and equal texts are repeats of each other; ids may be null or repeated; an empty table
-gives an empty result; other columns aren't read.
+rows and equal texts are repeats of each other; ids may be null or repeated; a very long text is hashed in
+blocks of whole documents, in the task of its chunk; an empty table gives an empty result; other columns
+aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,12 +35,12 @@ from pyspark.sql import DataFrame
 
 from . import chunkstore as cs
 from . import textkernel as tk
-from .substring import _repeated
-
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, removed array<struct<start: long, end: long>>, kept_sha256 string"
+OCCURRENCES = "group long, length long, doc_id long, start long"
 ANCHOR = 40
+HOT, STEP = 20_000, 20
 _BYTES_EACH = 3 << 19
-_OUT = cs.empty_like(SCHEMA).schema
+_OUT, _PLACES = cs.empty_like(SCHEMA).schema, cs.empty_like(OCCURRENCES).schema
 
 
 class _Windows:
@@ -86,49 +92,61 @@ def _ask(chunk: cs.Chunk, width: int, parts: int) -> list[tuple]:
     w = _Windows(chunk, width)
     _, once = np.unique(w.anchors, return_index=True)
     keys, counts = np.unique(w.key[once], return_counts=True)
-    return cs.ask_rows(chunk.number, keys, [np.minimum(counts, 2).astype(np.uint32)], parts)
+    return cs.ask_rows(chunk.number, keys, [counts.astype(np.uint32)], parts)
+
+
+def _verdicts(sums: list[np.ndarray], number: np.ndarray) -> bytes:
+    """Of each anchor 0: occurs once, 1: is repeated, 2: is hot."""
+    return cs.deflate(((sums[0] >= 2).astype(np.uint8) + (sums[0] > HOT))[number].tobytes())
+
+
+def _divided(w: _Windows, data: bytes, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches ``hot`` by classes: first and last windows, and keys."""
+    first, last, keys = [], [], []
+    for i in hot.tolist():
+        a, s, e = int(w.anchors[i]), int(w.first[i]), int(w.last[i])
+        for c in range((a - e) // STEP, (a - s) // STEP + 1):
+            lo, hi = max(s, a - c * STEP - STEP + 1), min(e, a - c * STEP)
+            # Common to the windows that start from a - (c + 1) STEP + 1 to a - c STEP, whichever of them are here.
+            core = data[a - c * STEP : a - (c + 1) * STEP + 1 + w.width]
+            first.append(lo)
+            last.append(hi)
+            keys.append(int.from_bytes(hashlib.blake2b(core, digest_size=8, key=b"%d" % c).digest(), "little"))
+    return np.array(first, np.int64), np.array(last, np.int64), np.array(keys, np.uint64)
 
 
 def _stretches(chunk: cs.Chunk, back: dict, width: int, parts: int) -> list[tuple]:
-    """Rows of ASK_SCHEMA: stretches by the partition of their anchor, equal ones once."""
+    """Rows of ASK_SCHEMA: stretches by the partition of their anchor, equal ones once; and their places as
+    the chunk's state."""
     w = _Windows(chunk, width)
     if not back or not len(w.key):
         return []
     keys, of = np.unique(w.key, return_inverse=True)
-    bits = np.concatenate([np.unpackbits(np.frombuffer(cs.inflate(back[p][8:]), np.uint8), count=int.from_bytes(back[p][:8], "little")) for p in sorted(back)])
-    assert len(bits) == len(keys)
-    kept = np.flatnonzero(bits[of])
-    pid = cs.partition_of(w.key[kept], parts)
+    said = np.concatenate([np.frombuffer(cs.inflate(back[p]), np.uint8) for p in sorted(back)])
+    assert len(said) == len(keys)
+    data = chunk.buf.tobytes()
+    kept = np.flatnonzero(said[of] == 1)
+    first, last, key = (np.concatenate([x[kept], y]) for x, y in zip((w.first, w.last, w.key), _divided(w, data, np.flatnonzero(said[of] == 2))))
+    pid = cs.partition_of(key, parts)
     order = np.argsort(pid, kind="stable")
-    kept, pid = kept[order], pid[order]
-    rows = []
+    first, last, pid = first[order], last[order], pid[order]
+    rows, places = [], []
     cut = np.flatnonzero(np.diff(pid, prepend=-1, append=parts))
-    data = chunk.buf.tobytes()
     for a, b in zip(cut[:-1], cut[1:]):
         if b == a:
             continue
         seen: dict[bytes, list[int]] = {}
-        for i in kept[a:b].tolist():
-            s, e = int(w.first[i]), int(w.last[i]) + width
+        for s, e in zip(first[a:b].tolist(), (last[a:b] + width).tolist()):
             seen.setdefault(data[s:e], []).append(s)
-        rows.append((int(pid[a]), chunk.number, len(seen), _write(seen)))
+        places += seen.values()
+        sizes, times = (np.array([len(x) for x in y], np.uint32) for y in (seen, seen.values()))
+        rows.append((int(pid[a]), chunk.number, len(seen), cs.deflate(sizes.tobytes() + times.tobytes() + b"".join(seen))))
+    if rows:
+        times, where = np.array([len(x) for x in places], np.int64), np.array([s for x in places for s in x], np.int64)
+        rows.append((-1 - chunk.number % parts, chunk.number, len(places), cs.deflate(tk.planes(times) + tk.planes(where))))
     return rows
 
 
-def _write(seen: dict[bytes, list[int]]) -> bytes:
-    sizes = np.array([len(x) for x in seen], np.int64)
-    times = np.array([len(x) for x in seen.values()], np.int64)
-    where = np.array([s for x in seen.values() for s in x], np.int64)
-    return cs.deflate(len(where).to_bytes(8, "little") + sizes.tobytes() + times.tobytes() + where.tobytes() + b"".join(seen))
-
-
-def _read(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
-    raw = cs.inflate(data)
-    m = int.from_bytes(raw[:8], "little")
-    sizes, times, where = np.split(np.frombuffer(raw, np.int64, 2 * n + m, 8), [n, 2 * n])
-    return sizes, times, where, raw[8 + 8 * (2 * n + m) :]
-
-
 def suffix_array(text: np.ndarray, room: np.ndarray, depth: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes of text by their first ``depth`` bytes at most, and for each pair of
     neighbours the length of the common prefix, up to depth (below ``least``: 0). Suffixes with less
@@ -243,8 +261,10 @@ def repeat_groups(strings: list[bytes], times: np.ndarray, least: int) -> tuple[
     at = np.concatenate([order[i:j] for _, i, j in found]) if found else np.zeros(0, np.int64)
     length = np.repeat([x for x, _, _ in found], [j - i for _, i, j in found]) if found else np.zeros(0, np.int64)
     of = np.searchsorted(ends, at, side="right")
-    # A string with equal ones is a repeat as a whole.
-    whole = np.flatnonzero((times > 1) & (sizes >= least))
+    # A string with equal ones is a repeat as a whole, where no group has it beside others already.
+    known = np.zeros(len(strings), bool)
+    known[of[(at == (ends - sizes)[of]) & (length == sizes[of])]] = True
+    whole = np.flatnonzero((times > 1) & (sizes >= least) & ~known)
     return (
         np.concatenate([number, len(found) + np.arange(len(whole))]),
         np.concatenate([of, whole]),
@@ -253,56 +273,75 @@ def repeat_groups(strings: list[bytes], times: np.ndarray, least: int) -> tuple[
     )
 
 
-GROUPS = "pid int, chunk long, size long, data binary"
-
+def _groups(width: int):
+    """The groups of a partition: to each chunk, for each of its stretches, group, offset and length."""
 
-def _spans(width: int):
     def run(group: pa.Table) -> pa.Table:
         rows = list(zip(*(group.column(c).to_pylist() for c in ("pid", "chunk", "size", "data"))))
+        if rows[0][0] < 0:
+            return group.select(cs.ASK_ARROW.names)
         index: dict[bytes, int] = {}
         total: list[int] = []
         held = []
         for _, chunk, n, data in rows:
-            sizes, times, where, blob = _read(data, n)
-            end = np.cumsum(sizes)
+            raw = cs.inflate(data)
+            sizes, times = np.split(np.frombuffer(raw, np.uint32, 2 * n).astype(np.int64), 2)
+            end = np.cumsum(sizes) + 8 * n
             ids = np.empty(n, np.int64)
             for k, (a, b) in enumerate(zip((end - sizes).tolist(), end.tolist())):
-                i = index.setdefault(blob[a:b], len(index))
+                i = index.setdefault(raw[a:b], len(index))
                 if i == len(total):
                     total.append(0)
                 total[i] += int(times[k])
                 ids[k] = i
-            held.append((chunk, np.repeat(ids, times), where))
+            held.append((chunk, ids))
         number, string, offset, length = repeat_groups(list(index), np.array(total, np.int64), width)
-        # Occurrences of each string: overlapping ones are one span.
         order = np.lexsort((offset, string))
-        string, offset, length = string[order], offset[order], length[order]
+        number, string, offset, length = number[order], string[order], offset[order], length[order]
         first = np.searchsorted(string, np.arange(len(index) + 1))
         out = []
-        for chunk, ids, where in held:
+        for chunk, ids in held:
             count = first[ids + 1] - first[ids]
-            if not count.sum():
-                continue
-            begin = np.repeat(where, count)
             pick = np.repeat(first[ids] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-            s = begin + offset[pick]
-            e = s + length[pick]
-            order = np.argsort(s, kind="stable")
-            s, e = s[order], np.maximum.accumulate(e[order])
-            cut = np.concatenate([[True], s[1:] > e[:-1]])
-            s, e = s[cut], e[np.append(np.flatnonzero(cut)[1:] - 1, len(e) - 1)]
-            out.append((rows[0][0], chunk, len(s), cs.deflate(np.concatenate([s, e]).tobytes())))
+            out.append((rows[0][0], chunk, len(ids), cs.deflate(b"".join(map(tk.planes, (count, number[pick], offset[pick], length[pick]))))))
         return cs.rows_to_arrow(out, cs.ASK_ARROW)
 
     return run
 
 
+def occurrences(back: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Group, start in the chunk, and length of what came back to a chunk."""
+    state = next((v for k, v in back.items() if k < 0), None)
+    if state is None:
+        return (np.zeros(0, np.int64),) * 3
+    counts, parts = [], []
+    for pid in sorted(k for k in back if k >= 0):
+        n, raw = back[pid][0], cs.inflate(back[pid][1])
+        counts.append(tk.unplanes(raw[: 8 * n], np.int64))
+        number, offset, length = (tk.unplanes(x, np.int64) for x in np.split(np.frombuffer(raw, np.uint8, offset=8 * n), 3))
+        parts.append(((np.int64(pid) << 32) + number, offset, length))
+    count = np.concatenate(counts)
+    group, offset, length = (np.concatenate(x) for x in zip(*parts))
+    raw = cs.inflate(state[1])
+    times, where = tk.unplanes(raw[: 8 * len(count)], np.int64), tk.unplanes(raw[8 * len(count) :], np.int64)
+    # Each place of a stretch has all the groups of the stretch.
+    of = np.repeat(np.arange(len(count)), times)
+    each = count[of]
+    pick = np.repeat((np.cumsum(count) - count)[of] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+    return group[pick], np.repeat(where, each) + offset[pick], length[pick]
+
+
+def _places(chunk: cs.Chunk, back: dict) -> pa.Table:
+    group, start, length = occurrences(back)
+    # Empty documents start where the next one does: the last that starts there has the bytes.
+    doc = np.searchsorted(chunk.starts, start, side="right") - 1
+    ids = pa.array(chunk.ids, pa.int64()).take(pa.array(doc))
+    return pa.Table.from_arrays([pa.array(group), pa.array(length), ids, pa.array(start - chunk.starts[doc] if len(doc) else start)], schema=_PLACES)
+
+
 def _finish(chunk: cs.Chunk, back: dict) -> pa.Table:
-    step = np.zeros(len(chunk.buf) + 1, np.int32)
-    for data in back.values():
-        s, e = np.split(np.frombuffer(cs.inflate(data), np.int64), 2)
-        np.add.at(step, s, 1)
-        np.subtract.at(step, e, 1)
+    _, start, length = occurrences(back)
+    step = np.bincount(start, minlength=len(chunk.buf) + 1) - np.bincount(start + length, minlength=len(chunk.buf) + 1)
     gone = np.cumsum(step[:-1]) > 0
     rows = []
     for doc, a, b in zip(chunk.ids, chunk.starts.tolist(), chunk.ends.tolist()):
@@ -314,7 +353,7 @@ def _finish(chunk: cs.Chunk, back: dict) -> pa.Table:
 
 
 def repeats(base: cs.Store, min_bytes: int) -> DataFrame:
-    """Occurrences of maximal repeats: chunk, and the merged byte spans within it."""
+    """Groups of maximal repeats by chunk, and the chunks' places (rows of ASK_SCHEMA; see ``occurrences``)."""
     asking = base.partitions(base.total_bytes / 40, 1 << 20)
     sorting = base.partitions(base.total_bytes * 0.8, _BYTES_EACH)
 
@@ -327,11 +366,17 @@ def repeats(base: cs.Store, min_bytes: int) -> DataFrame:
         return cs.rows_to_arrow(_stretches(chunk, back, min_bytes, sorting), cs.ASK_ARROW)
 
     asked = base.df.mapInArrow(begin, cs.ASK_SCHEMA)
-    stretches = cs.by_chunk(base, cs.answer(asked, 1, _repeated), gather, cs.ASK_SCHEMA)
-    return stretches.groupBy("pid").applyInArrow(_spans(min_bytes), GROUPS)
+    stretches = cs.by_chunk(base, cs.answer(asked, 1, _verdicts), gather, cs.ASK_SCHEMA)
+    return stretches.groupBy("pid").applyInArrow(_groups(min_bytes), cs.ASK_SCHEMA)
+
+
+def maximal_repeats(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All occurrences of all groups (OCCURRENCES): bytes ``start`` to ``start + length`` of the document."""
+    base = cs.store(docs, id_col, text_col)
+    return cs.by_chunk(base, repeats(base, min_bytes), _places, OCCURRENCES, sized=True)
 
 
 def dedup_suffixes(docs: DataFrame, min_bytes: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Byte ranges to remove from each document (``removed``), and a digest of what is kept."""
     base = cs.store(docs, id_col, text_col)
-    return cs.by_chunk(base, repeats(base, min_bytes), _finish, SCHEMA)
+    return cs.by_chunk(base, repeats(base, min_bytes), _finish, SCHEMA, sized=True)

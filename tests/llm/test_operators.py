@@ -102,6 +102,14 @@ def test_suffix_groups_are_all_maximal_repeats():
         every = Counter(x[i:j] for x in strings for i in range(len(x)) for j in range(i + 3, len(x) + 1))
         for sub, times in got:
             assert every[sub] == times > 1
+        # Completeness: each substring whose occurrences differ on both sides, an edge being unlike all else.
+        left, right = {}, {}
+        for k, x in enumerate(strings):
+            for i in range(len(x)):
+                for j in range(i + 3, len(x) + 1):
+                    left.setdefault(x[i:j], set()).add(x[i - 1] if i else ("edge", k))
+                    right.setdefault(x[i:j], set()).add(x[j] if j < len(x) else ("edge", k))
+        assert got == {(sub, n) for sub, n in every.items() if n > 1 and len(left[sub]) > 1 and len(right[sub]) > 1}
 
 
 def test_jaccard(docs):
