@@ -13,20 +13,25 @@ Whole results under skew:
   is first paired with one of about its size only, that which is in most long runs;
 - once those links are verified and components known, all pairs of a long run that are still in
   different components and that sizes and positions allow are verified as well. Pairs within a
-  component are left out: they can't change it.
+  component are left out: they can't change it;
+- a shingle that the counters put in more than ``RUN_EACH`` documents is dealt to that many parts, each a
+  run of its own; as every shingle deals its documents anew, near copies that share several still meet. Then the
+  parts are compared two by two, but for those of one component, so that no task has all of a shingle.
 
 Frequencies come from counts over all documents in a sketch of fixed size (2^21 counters, 2 MB as
 sent to tasks); they steer the order only, any order gives the same links.
 
 Defined results: a null text and one without words have no shingles and link with nothing;
 fewer words than ``words_each`` are one shingle; repeated rows and equal texts are one class;
-null ids take part, but a class is named by its smallest non-null id; an empty table gives an
-empty result; other columns aren't read.
+null ids take part, but a class is named by its smallest non-null id; a very long text is hashed whole,
+in one task; an empty table gives an empty result; other columns aren't read, whatever their names, and pass
+``representatives``.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +46,8 @@ from .components import components
 
 BITS = 21
 RUN = 24
+#: Entries of one shingle that a task takes at most, as the counters estimate them.
+RUN_EACH = 200_000
 _MOST = 6
 _VERIFY = 40.0
 _DOC = "gid long, doc_id long, n long, sig1 long, sig2 long, bits binary, blob binary"
@@ -139,7 +146,7 @@ def _sketch(docs: DataFrame, k: int) -> tuple[np.ndarray, float]:
     return codes.ravel(), sum(r.total for r in out) / (1 << BITS)
 
 
-_ENTRY = [("token", np.uint64), ("gid", np.int64), ("n", np.uint32), ("at", np.uint32), ("need", np.uint8)]
+_ENTRY = [("token", np.uint64), ("gid", np.int64), ("n", np.uint32), ("at", np.uint32), ("need", np.uint8), ("part", np.uint16)]
 
 
 def _prefixes(k: int, percent: int, codes, mean: float, parts: int):
@@ -163,14 +170,17 @@ def _prefixes(k: int, percent: int, codes, mean: float, parts: int):
                     need = int(np.argmin(cost + _VERIFY * chance / np.arange(1, most + 1))) + 1
                     m = shortest + need - 1
                     # Prefixes hold small hashes: mixed again they spread evenly over partitions.
-                    for c, v in zip(columns, (tk.mix(s[order[:m]]), np.full(m, gid, np.int64), np.full(m, n, np.uint32), np.arange(m, dtype=np.uint32), np.full(m, need, np.uint8))):
+                    token = tk.mix(s[order[:m]])
+                    split = np.minimum(np.ceil(guess[order[:m]] / RUN_EACH), 65_535).astype(np.uint64)
+                    part = np.where(split > 1, tk.mix(token ^ tk.mix(np.array([gid]).astype(np.uint64))) % np.maximum(split, np.uint64(1)) + np.uint64(1), np.uint64(0))
+                    for c, v in zip(columns, (token, np.full(m, gid, np.int64), np.full(m, n, np.uint32), np.arange(m, dtype=np.uint32), np.full(m, need, np.uint8), part.astype(np.uint16))):
                         c.append(v)
                 if not columns[0]:
                     continue
                 data = [np.concatenate(c) for c in columns]
-                order = np.argsort(data[0])
-                data = [c[order] for c in data]
-                pid = cs.partition_of(data[0], parts)
+                pid = cs.partition_of(np.where(data[-1] > 0, tk.mix(data[0] + data[-1].astype(np.uint64)), data[0]), parts)
+                order = np.lexsort((data[0], pid))
+                data, pid = [c[order] for c in data], pid[order]
                 cut = np.flatnonzero(np.diff(pid, prepend=-1, append=parts))
                 rows = [(int(pid[a]), 0, int(b - a), cs.deflate(b"".join(tk.planes(np.ascontiguousarray(c[a:b])) for c in data))) for a, b in zip(cut[:-1], cut[1:]) if b > a]
                 yield from cs.rows_to_arrow(rows, cs.ASK_ARROW).to_batches()
@@ -199,7 +209,7 @@ def possible(nx, ny, ix, iy, need, percent: int) -> np.ndarray:
 
 #: kind 0: candidates a and b, shared entries, entries needed; 1: the long runs of group a (data); 2: document b is in these.
 _FOUND = "kind int, a long, b long, shared long, need long, data binary"
-_RUNS = [("token", np.uint64), ("gid", np.int64), ("n", np.int64), ("at", np.int64), ("need", np.int64)]
+_RUNS = [("token", np.uint64), ("gid", np.int64), ("n", np.int64), ("at", np.int64), ("need", np.int64), ("part", np.int64)]
 
 
 def _found(arrow: pa.Schema, kind: int, a, b, shared=None, need=None, data=None) -> pa.Table:
@@ -212,14 +222,15 @@ def _candidates(percent: int):
     arrow = cs.empty_like(_FOUND).schema
 
     def run(group: pa.Table) -> pa.Table:
-        token, gid, n, at, need = _entries(group)
-        order = np.lexsort((gid, n, token))
-        token, gid, n, at, need = (c[order] for c in (token, gid, n.astype(np.int64), at.astype(np.int64), need.astype(np.int64)))
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        token, gid, n, at, need, part = _entries(group)
+        order = np.lexsort((gid, n, part, token))
+        token, gid, n, at, need, part = (c[order] for c in (token, gid, n.astype(np.int64), at.astype(np.int64), need.astype(np.int64), part.astype(np.int64)))
+        first = _run_starts(token, part)
         size = np.diff(np.append(first, len(token)))
+        dealt = part[first] > 0
         pairs: list[tuple] = []
-        for m in np.unique(size[(size > 1) & (size <= RUN)]).tolist():
-            runs = first[size == m]
+        for m in np.unique(size[(size > 1) & (size <= RUN) & ~dealt]).tolist():
+            runs = first[(size == m) & ~dealt]
             i, j = np.triu_indices(m, 1)
             for block in np.array_split(runs, -(-len(runs) * len(i) // (1 << 20))):
                 x, y = (block[:, None] + i).ravel(), (block[:, None] + j).ravel()
@@ -227,16 +238,16 @@ def _candidates(percent: int):
                 ok = possible(n[x], n[y], at[x], at[y], low, percent)
                 x, y, low = x[ok], y[ok], low[ok]
                 pairs.append((np.minimum(gid[x], gid[y]), np.maximum(gid[x], gid[y]), low, np.zeros(len(x), bool)))
-        long = np.flatnonzero(np.repeat(size > RUN, size))
+        long = np.flatnonzero(np.repeat((size > RUN) | dealt, size))
         if len(long):
             # Each to the one of about its size that is in most long runs here: an original shares
             # shingles with all its copies, which the copies' own changes don't.
             which, number, often = np.unique(gid[long], return_inverse=True, return_counts=True)
             for shift in (0.0, 0.5):
                 about = np.floor(np.log(n[long]) / np.log(1.15) + shift).astype(np.int64)
-                order = np.lexsort((gid[long], -often[number], about, token[long]))
+                order = np.lexsort((gid[long], -often[number], about, part[long], token[long]))
                 there = long[order]
-                head = np.concatenate([[True], (token[there][1:] != token[there][:-1]) | (about[order][1:] != about[order][:-1])])
+                head = np.concatenate([[True], (token[there][1:] != token[there][:-1]) | (part[there][1:] != part[there][:-1]) | (about[order][1:] != about[order][:-1])])
                 centre = gid[there][np.maximum.accumulate(np.where(head, np.arange(len(there)), 0))]
                 x, y = np.minimum(centre, gid[there]), np.maximum(centre, gid[there])
                 ok = x != y
@@ -252,7 +263,7 @@ def _candidates(percent: int):
                 tables.append(_found(arrow, 0, a[head], b[head], shared, np.maximum.reduceat(low, head)))
         if len(long):
             pid = group.column("pid")[0].as_py()
-            runs = cs.deflate(b"".join(tk.planes(np.ascontiguousarray(c[long])) for c in (token, gid, n, at, need)))
+            runs = cs.deflate(b"".join(tk.planes(np.ascontiguousarray(c[long])) for c in (token, gid, n, at, need, part)))
             tables.append(_found(arrow, 1, np.array([pid]), np.array([len(long)]), data=[runs]))
             tables.append(_found(arrow, 2, np.full(len(which), pid), which))
         return pa.concat_tables(tables) if tables else arrow.empty_table()
@@ -260,57 +271,132 @@ def _candidates(percent: int):
     return run
 
 
-def _crossing(percent: int):
-    """Pairs of a shingle's documents in different components that may link; each once a group.
+def _run_starts(token: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (part[1:] != part[:-1])]))
+
+
+@dataclass
+class _Run:
+    """Entries of a shingle by ascending size, with the documents' components and parity bitmaps."""
+
+    gid: np.ndarray
+    n: np.ndarray
+    at: np.ndarray
+    need: np.ndarray
+    root: np.ndarray
+    bits: np.ndarray
+
+    def pack(self) -> bytes:
+        return cs.deflate(b"".join(np.ascontiguousarray(c).tobytes() for c in (self.gid, self.n, self.at, self.need, self.root, self.bits)))
+
+    @staticmethod
+    def unpack(data: bytes) -> _Run:
+        width = 5 + (1 << PARITY) // 64
+        x = np.frombuffer(cs.inflate(data), np.int64)
+        m = len(x) // width
+        return _Run(*(x[m * i : m * i + m] for i in range(5)), x[5 * m :].reshape(m, -1).view(np.uint64))
+
+
+def _linkable(x: _Run, y: _Run, percent: int):
+    """Pairs of entries of x and y (or of x, if they are the same) in different components that may link.
 
     Two sets differ in at least as many shingles as their parity bitmaps differ in bits, which
     bounds what they share from above."""
+    since = np.searchsorted(y.n * 100, percent * x.n, side="left")
+    until = np.searchsorted(y.n * percent, 100 * x.n, side="right")
+    for lo in range(0, len(x.gid), 512):
+        hi = min(lo + 512, len(x.gid))
+        end = int(until[lo:hi].max())
+        for c in range(lo if x is y else int(since[lo:hi].min()), end, 1 << 13):
+            d = min(c + (1 << 13), end)
+            apart = x.root[lo:hi, None] != y.root[None, c:d]
+            if x is y:
+                apart &= np.arange(lo, hi)[:, None] < np.arange(c, d)[None, :]
+            i, j = np.nonzero(apart)
+            i, j = i + lo, j + c
+            ok = np.flatnonzero(possible(x.n[i], y.n[j], x.at[i], y.at[j], np.minimum(x.need[i], y.need[j]), percent))
+            for some in np.array_split(ok, len(ok) // 50_000 + 1):
+                p, q = i[some], j[some]
+                differ = np.bitwise_count(x.bits[p] ^ y.bits[q]).sum(axis=1, dtype=np.int64)
+                total = x.n[p] + y.n[q]
+                near = differ <= total - 2 * -(-percent * total // (100 + percent))
+                p, q = x.gid[p[near]], y.gid[q[near]]
+                yield np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1)
+
+
+class _Pairs:
+    """Distinct pairs, gathered piece by piece."""
+
+    def __init__(self):
+        self.found, self.held, self.size = np.zeros((0, 2), np.int64), [], 0
+
+    def add(self, pairs: np.ndarray) -> None:
+        self.held.append(pairs)
+        self.size += len(pairs)
+        if self.size > 1 << 20:
+            self.all()
+
+    def all(self) -> np.ndarray:
+        if self.held:
+            self.found = np.unique(np.concatenate([self.found, *self.held]), axis=0)
+            self.held, self.size = [], 0
+        return self.found
+
+
+#: kind 0: the pair a and b; 1: a part of a dealt shingle (token, part), its least and greatest component, its entries.
+_CROSS = "kind int, a long, b long, token long, part long, low long, high long, data binary"
 
-    def pairs(gid, at, need, n, root, bits):
-        until = np.searchsorted(n * percent, 100 * n, side="right")
-        for lo in range(0, len(gid), 512):
-            hi = min(lo + 512, len(gid))
-            end = int(until[lo:hi].max())
-            for c in range(lo, end, 1 << 13):
-                d = min(c + (1 << 13), end)
-                x, y = np.nonzero((root[lo:hi, None] != root[None, c:d]) & (np.arange(lo, hi)[:, None] < np.arange(c, d)[None, :]))
-                x, y = x + lo, y + c
-                ok = np.flatnonzero(possible(n[x], n[y], at[x], at[y], np.minimum(need[x], need[y]), percent))
-                for part in np.array_split(ok, len(ok) // 50_000 + 1):
-                    i, j = x[part], y[part]
-                    apart = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-                    ok = part[apart <= n[i] + n[j] - 2 * -(-percent * (n[i] + n[j]) // (100 + percent))]
-                    yield np.minimum(gid[x[ok]], gid[y[ok]]), np.maximum(gid[x[ok]], gid[y[ok]])
+
+def _crossing(percent: int):
+    """Pairs of a shingle's documents in different components that may link; each once a group."""
+    arrow = cs.empty_like(_CROSS).schema
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = np.zeros((0, 2), np.int64)
-        held, size = [], 0
         if not left.num_rows:
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            return arrow.empty_table()
+        pairs, rows = _Pairs(), []
         raw, m = cs.inflate(left.column("data")[0].as_py()), left.column("entries")[0].as_py()
-        token, gid, n, at, need = (tk.unplanes(raw[8 * m * i : 8 * m * (i + 1)], kind) for i, (_, kind) in enumerate(_RUNS))
+        token, gid, n, at, need, part = (tk.unplanes(raw[8 * m * i : 8 * m * (i + 1)], kind) for i, (_, kind) in enumerate(_RUNS))
         known, roots = right.column("b").to_numpy(), right.column("root").to_numpy()
         order = np.argsort(known)
         at_doc = order[np.searchsorted(known[order], gid)]
         root = roots[at_doc]
         every = np.frombuffer(b"".join(right.column("bits").to_pylist()), np.uint64).reshape(len(known), -1)
-        # Runs come by shingle and size. Those within one component are done.
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
-        low, high = np.minimum.reduceat(root, first[:-1]), np.maximum.reduceat(root, first[:-1])
-        for i, j in zip(first[:-1][low < high], first[1:][low < high]):
-            for a, b in pairs(gid[i:j], at[i:j], need[i:j], n[i:j], root[i:j], every[at_doc[i:j]]):
-                held.append(np.stack([a, b], axis=1))
-                size += len(a)
-            if size > 1 << 20:
-                found = np.unique(np.concatenate([found, *held]), axis=0)
-                held, size = [], 0
-        if held:
-            found = np.unique(np.concatenate([found, *held]), axis=0)
-        return pa.table({"a": pa.array(found[:, 0].copy()), "b": pa.array(found[:, 1].copy())})
+        # Runs come by shingle and size. Those within one component are done, but for the other parts.
+        first = _run_starts(token, part)
+        low, high = np.minimum.reduceat(root, first), np.maximum.reduceat(root, first)
+        for i, j, a, b in zip(first.tolist(), [*first[1:].tolist(), m], low.tolist(), high.tolist()):
+            if a < b or part[i]:
+                entries = _Run(*(c[i:j] for c in (gid, n, at, need, root)), every[at_doc[i:j]])
+                if a < b:
+                    for found in _linkable(entries, entries, percent):
+                        pairs.add(found)
+                if part[i]:
+                    rows.append((1, None, None, int(token[i : i + 1].view(np.int64)[0]), int(part[i]), a, b, entries.pack()))
+        rows += [(0, a, b, *[None] * 5) for a, b in pairs.all().tolist()]
+        return cs.rows_to_arrow(rows, arrow)
 
     return run
 
 
+def _between_parts(crossing: DataFrame, percent: int) -> DataFrame:
+    """Such pairs of documents in different parts of a dealt shingle: the parts two by two."""
+    parts = crossing.where("kind = 1").select("token", "part", "low", "high", "data")
+    x, y = (parts.select("token", *(F.col(c).alias(f"{c}_{k}") for c in parts.columns[1:])) for k in "xy")
+    met = x.join(y, "token").where("part_x < part_y and not (low_x = high_x and low_y = high_y and low_x = low_y)")
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                pairs = _Pairs()
+                for found in _linkable(*(_Run.unpack(batch.column(k)[i].as_py()) for k in (0, 1)), percent):
+                    pairs.add(found)
+                got = pairs.all()
+                yield pa.RecordBatch.from_arrays([pa.array(got[:, 0].copy()), pa.array(got[:, 1].copy())], names=["a", "b"])
+
+    return met.select("data_x", "data_y").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of candidate pairs (a, b), those whose whole sets link."""
     left = docs.select(F.col("gid").alias("a"), F.col("blob").alias("text_a"))
@@ -367,7 +453,8 @@ def _solve(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str, re
     inside = found.where("kind = 2").select("a", "b").join(roots.select(F.col("u").alias("b"), F.col("v").alias("root")), "b", "left").select(F.col("a").alias("part"), "b", F.coalesce("root", "b").alias("root"))
     inside = inside.join(texts.select(F.col("gid").alias("b"), "bits"), "b")
     runs = found.where("kind = 1").select(F.col("a").alias("part"), F.col("b").alias("entries"), "data")
-    crossing = materialize(runs.groupBy("part").cogroup(inside.groupBy("part")).applyInArrow(_crossing(percent), "a long, b long").distinct(), "crossing")
+    crossing = materialize(runs.groupBy("part").cogroup(inside.groupBy("part")).applyInArrow(_crossing(percent), _CROSS), "crossing")
+    crossing = materialize(crossing.where("kind = 0").select("a", "b").union(_between_parts(crossing, percent)).distinct(), "crossing")
     if not crossing.isEmpty():
         more = materialize(_verified(crossing, texts, k, percent), "links")
         if not more.isEmpty():
