@@ -9,11 +9,13 @@ c(hw)/c(h), c(w)/N and 1/(V+1); a context never seen has the last two only.
 All counts are exact and cover all training documents. Each chunk of documents asks for the
 counts of its distinct n-grams (see chunkstore) and is then scored on its own. What the
 driver gathers is a histogram over a grid of fixed size (context bucket by log estimates), whose
-range is that of 64-bit counts: no estimate or context is clipped at any size of the corpus.
+range is that of 64-bit counts: no estimate or context is clipped at any size of the corpus. A cell has the
+mean of its log estimates, so the grid costs second-order terms only.
 
 Defined results: a null or empty text is one end token; a null id counts as the empty text in the
 checksum (training); repeated rows count as often as they occur; an empty table gives an empty
-result; other columns aren't read. Text is taken whole, A-Z in lower case.
+result; other columns aren't read, whatever their names. Text is taken whole, A-Z in lower case, a very long one
+in the task of its chunk.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import chunkstore as cs
 from . import textkernel as tk
-from .common import bucketed, shuffle_partitions
+from .common import bucketed
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _OUT = cs.empty_like(SCHEMA).schema
@@ -163,7 +165,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     replies = cs.answer(base.df.mapInArrow(begin, cs.ASK_SCHEMA), 2, _reply, totals)
     spark = docs.sparkSession
     # Both the answers by chunk and the totals (chunk -1) come from one table.
-    held = bucketed(replies, "chunk", shuffle_partitions(spark), "ngrams")
+    held = bucketed(replies, "chunk", base.buckets, "ngrams")
     sizes = held.where("chunk = -1").select((F.col("pid") % 2).alias("kind"), "data").where("kind = 0")
     figures = _sum_totals(sizes)
     n_a, n_b, v_a, v_all = figures
@@ -183,14 +185,17 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     continue
                 _, which, _, of_pair, before = t.keys()
                 context = one[0][before[at]]
-                code = (_bucket(context) * _STEPS + _step(_ratio(two[0][of_pair[at]], context))) * _STEPS + _step(one[0][which[at]] / max(1, n_a))
-                codes, times = np.unique(code, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(times)], names=["code", "times"])
-
-    events = joined.mapInArrow(histogram, "code long, times long").groupBy("code").agg(F.sum("times").alias("times")).toPandas()
-    code = events["code"].to_numpy(np.int64)
-    back = lambda s: np.where(s > 0, np.exp2(-(s - 1) / _GRID), 0.0)
-    weights = fit_weights(code // _STEPS**2, back(code // _STEPS % _STEPS), back(code % _STEPS), 1 / (v_a + 1), events["times"].to_numpy(float))
+                p2, p1 = _ratio(two[0][of_pair[at]], context), one[0][which[at]] / max(1, n_a)
+                code = (_bucket(context) * _STEPS + _step(p2)) * _STEPS + _step(p1)
+                codes, of, times = np.unique(code, return_inverse=True, return_counts=True)
+                logs = (np.bincount(of, np.log2(np.where(p > 0, p, 1.0)), len(codes)) for p in (p2, p1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (codes, times, *logs)], names=["code", "times", "log2", "log1"])
+
+    events = joined.mapInArrow(histogram, "code long, times long, log2 double, log1 double").groupBy("code").agg(*(F.sum(c).alias(c) for c in ("times", "log2", "log1"))).toPandas()
+    code, times = events["code"].to_numpy(np.int64), events["times"].to_numpy(float)
+    # A cell of the grid stands for the geometric mean of the estimates in it.
+    mean = lambda s, c: np.where(s > 0, np.exp2(events[c].to_numpy(float) / times), 0.0)
+    weights = fit_weights(code // _STEPS**2, mean(code // _STEPS % _STEPS, "log2"), mean(code % _STEPS, "log1"), 1 / (v_a + 1), times)
 
     def score(batches):
         n, v = n_a + n_b, v_all
