@@ -21,11 +21,15 @@ factor that fills the target with its cells capped, by running sums over the cel
 Defined results: nulls in source, language or topic are a category of their own; a null text has no
 tokens and, as its cell's other documents, is sampled at the cell's probability; cells
 without any token get probability 0 and keep nothing but where all are empty; ids may be null or
-repeated (rows equal in id and text share their fate); an empty table gives an empty result.
+repeated (rows equal in id and text share their fate); very long texts are counted in one pass by the JVM; targets
+that no cells can meet end with a warning that names the gap; an empty table gives an empty result; other
+columns pass ``mix``, whatever their names.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -112,6 +116,9 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float] | None], temper:
             worst = max(worst, (gap or 0.0) / (total or 1.0))
         if worst < tolerance:
             break
+    else:
+        # Targets that no cells can meet, such as a source that has none of a language.
+        warnings.warn(f"marginals still differ by {worst:.2g} of the tokens after {rounds} rounds", stacklevel=2)
     now = now.withColumn("kept", kept)
     return now.crossJoin(F.broadcast(now.agg(F.sum("kept").alias("all")))).select(*AXES, "tokens", "kept", F.when(F.col("all") > 0, F.col("kept") / F.col("all")).otherwise(0.0).alias("weight"))
 
@@ -133,7 +140,7 @@ def calibrated(docs: DataFrame, targets: dict[str, dict[str, float] | None] | No
     raked = rake(cells, targets or {}, temper, keep=keep).withColumn("multiplier", F.col("weight") / F.col("tokens"))
     empty = not cells.where("tokens > 0").take(1)
     all_cells = cells.select(*AXES).join(raked.select(*AXES, "weight", "multiplier", (F.col("kept") / F.col("tokens")).alias("p")), list(AXES), "left")
-    probability = F.lit(1.0) if empty else F.round(F.coalesce("p", F.lit(0.0)), 12)
+    probability = F.lit(1.0) if empty else F.coalesce("p", F.lit(0.0))
     return rows, materialize(all_cells.withColumn("probability", probability).drop("p"), "multipliers")
 
 
