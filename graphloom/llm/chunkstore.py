@@ -1,12 +1,14 @@
 """Documents packed into chunks of a few MB, and questions that chunks put to the whole corpus.
 
 A chunk is one row: the ids and byte lengths of its documents and their texts, joined by a
-line feed and compressed. The table is bucketed by chunk, so that answers join it without moving
-texts. A question (``ask``) sends, for each chunk, distinct 64-bit keys with counts to the
+line feed and compressed. The table is bucketed by chunk, which moves each text once, so that answers join
+it without moving texts again. A question (``ask``) sends, for each chunk, distinct 64-bit keys with counts to the
 partition that the key's leading bits name; ``answer`` sums the counts there and sends them
 back in the order in which they were asked, so keys travel one way only.
-Memory of a task: one chunk, or the keys of one partition; the number of partitions follows the
-size of the corpus. A single key costs one entry for each chunk that has it.
+A row is what a chunk asks of a partition. Chunks and partitions both grow with the root of the corpus beyond
+``ROOT_FROM`` (2 MB and 16 MB of keys there, some 40 times these at 100 TB), so that a row always holds hundreds of
+keys and neither rows nor their heads outgrow the text. Memory of a task: one chunk, or the keys of one
+partition. A single key costs one entry for each chunk that has it.
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import bucketed, shuffle_partitions
+from .common import bucketed, buckets, text_bytes
 
 CHUNK_BYTES = 2 << 20
+ROOT_FROM = 50 << 30
 _SLOTS = 1 << 20
 CHUNK_SCHEMA = "chunk long, ids array<long>, lens array<long>, raw long, blob binary"
 #: pid < 0: state that a chunk keeps for its next pass.
@@ -50,9 +53,16 @@ class Store:
     df: DataFrame
     total_bytes: int
     documents: int
+    growth: float = 1.0
+    buckets: int = 1
 
     def partitions(self, units: float, each: int) -> int:
-        return max(1, int(np.ceil(units / each)))
+        return max(1, int(np.ceil(units / (each * self.growth))))
+
+
+def growth(total_bytes: int) -> float:
+    """How many times as large as in a small corpus chunks and partitions are."""
+    return min(max(1.0, total_bytes / ROOT_FROM) ** 0.5, 48.0)
 
 
 def deflate(data: bytes) -> bytes:
@@ -95,9 +105,11 @@ def _pack(chunk_bytes: int):
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> Store:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    df = bucketed(rows.mapInArrow(_pack(chunk_bytes), CHUNK_SCHEMA), "chunk", shuffle_partitions(docs.sparkSession), "chunks")
+    # The planner's estimate sets sizes only: any gives the same results.
+    grown, n = growth(text_bytes(rows)), buckets(rows)
+    df = bucketed(rows.mapInArrow(_pack(int(chunk_bytes * grown)), CHUNK_SCHEMA), "chunk", n, "chunks")
     size = df.agg(F.sum("raw").alias("raw"), F.sum(F.size("ids")).alias("n")).first()
-    return Store(df, size.raw or 0, size.n or 0)
+    return Store(df, size.raw or 0, size.n or 0, grown, n)
 
 
 def chunk_of(number, ids, lens, blob) -> Chunk:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,16 +15,66 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: What is written for queries whose results may still be read: paths, and names of tables.
+_written: list[tuple[str, str]] = []
+#: Bytes of text in a bucket, and of a file's text to a byte of the scan's estimate.
+BUCKET_BYTES, EXPANDS = 64 << 20, 3
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none."""
+    """The shared folder of the session; a temporary one only for a session on this machine that names none."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-scratch")
     return f"{base.rstrip('/')}/graphloom"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(("path", path))
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Drops at its end what operators wrote within, but for the frames given to the function that it yields.
+
+    Results are lazy: read or write them within, or keep them."""
+    before, kept = len(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(f.rpartition("/")[0] for f in df.inputFiles())
+        return df
+
+    yield keep
+    mine = _written[before:]
+    del _written[before:]
+    for kind, name in mine:
+        if kind == "path" and any(k.rstrip("/").endswith(name.rpartition("/")[2]) for k in kept):
+            _written.append((kind, name))
+        else:
+            drop(spark, kind, name)
+
+
+def drop(spark: SparkSession, kind: str, name: str) -> None:
+    if kind == "table":
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        return
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    """About the bytes of text that a frame reads, by the planner's estimate; 0 where it has none."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size >= 1 << 55 else size * EXPANDS
+
+
+def buckets(docs: DataFrame) -> int:
+    """Buckets for the texts of docs: more where they would not fit a task."""
+    return min(max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs) // BUCKET_BYTES)), 100_000)
 
 
 def materialize(df: DataFrame, name: str, codec: str = "lz4_raw") -> DataFrame:
@@ -38,6 +89,7 @@ def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     """Write df as a table bucketed by key, so that later joins on the key don't shuffle it."""
     spark = df.sparkSession
     table = f"graphloom_{name}_{uuid.uuid4().hex}"
+    _written.append(("table", table))
     (
         df.repartition(buckets, key)
         .write.option("path", scratch_path(spark, name))

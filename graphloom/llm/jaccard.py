@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import chunkstore as cs
 from . import textkernel as tk
-from .common import bucketed, materialize, shuffle_partitions
+from .common import bucketed, buckets, materialize
 from .components import components
 
 BITS = 21
@@ -436,7 +436,7 @@ def _solve(docs: DataFrame, percent: int, k: int, id_col: str, text_col: str, re
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.struct(*(F.col(f"`{c}`") for c in rest)).alias("rest")] if rest else []))
     schema = _DOC + (f", rest {rows.schema['rest'].dataType.simpleString()}" if rest else "")
-    texts = bucketed(rows.mapInArrow(_begin(k), schema), "gid", shuffle_partitions(spark), "shingled")
+    texts = bucketed(rows.mapInArrow(_begin(k), schema), "gid", buckets(rows), "shingled")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "gid")).alias("best")
     nodes = materialize(texts.where("n > 0").groupBy("sig1", "sig2", "n").agg(F.min("gid").alias("node"), F.min("doc_id").alias("least"), best), "nodes")
     alone = texts.join(nodes.select(F.col("node").alias("gid")), "gid", "left_semi").select("gid", "blob")

@@ -9,7 +9,8 @@ alone are extended to the next. At the last length each surviving window asks ab
 Defined results: a null text has no words; texts of fewer than ``min_words`` words lose none;
 repeated rows and equal texts are repeats of each other (both lose the passage); overlapping
 repeats within a document count; ids may be null or repeated, as each row is its own document;
-an empty table gives an empty result. Only the id and the text are read of the columns.
+a very long text is split into words in blocks, in the task of its chunk; an empty table gives an empty
+result. Only the id and the text are read of the columns, whatever the others are named.
 Windows are compared by 64-bit hashes, after their parts were found repeated as well.
 """
 
