@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..terms import TERM, Kind, as_term, literal
+from ..terms import TERM, Kind, as_term, exact, literal, native, number_term, rank
 from ..virtual import CLASS, COL, TAB, VirtualGraphs
 from . import parser as ast
 from .expressions import Scope, ebv, evaluate, order_keys
@@ -112,8 +112,10 @@ class Compiler:
                 columns.append((F.count_distinct(c) if call.distinct else F.count(c)).alias(name))
                 kinds[name] = Kind("int")
             elif call.name in ("SUM", "AVG"):
-                from ..terms import native
-
+                if kind.name not in ("int", "decimal", "double"):
+                    columns.append(_term_total(call, c, kind).alias(name))
+                    kinds[name] = TERM
+                    continue
                 number = kind.name if kind.name in ("int", "decimal", "double") else "double"
                 c = native(c, kind, number)
                 if call.name == "SUM":
@@ -557,6 +559,26 @@ class Compiler:
         return seen.toDF(".s", ".o")
 
 
+def _term_total(call: ast.Call, c: Column, kind: Kind) -> Column:
+    """SUM or AVG by the types that the literals name, of the widest of them; NULL where one is no number."""
+    x = (F.when(c.isNotNull(), c), kind)
+    place = rank(*x)
+    add = F.sum_distinct if call.distinct else F.sum
+    many = F.count_distinct if call.distinct else F.count
+    # Each type is summed on its own, exactly where it can be: decimals of a sum have ten digits more.
+    none = lambda t: F.lit(0).cast(t)
+    whole = F.coalesce(add(F.when(place == 0, exact(*x, "decimal(28,0)"))), none("decimal(38,0)"))
+    part = F.coalesce(add(F.when(place == 1, exact(*x, "decimal(28,18)"))), none("decimal(38,18)"))
+    rest = F.coalesce(add(F.when(place >= 2, native(*x, "double"))), none("double"))
+    widest, n = F.coalesce(F.max(place), F.lit(0)), many(c)
+    decimal = (whole.cast("decimal(38,18)") + part).cast("decimal(38,18)")
+    double = decimal.cast("double") + rest
+    if call.name == "AVG":
+        widest = F.when((widest == 0) & (n > 0), F.lit(1)).otherwise(widest)
+        decimal, double = F.try_divide(decimal, n).cast("decimal(38,18)"), F.try_divide(double, n)
+    return F.when(F.count_if(c.isNotNull() & place.isNull()) == 0, number_term(widest, whole.cast("decimal(38,0)"), decimal, double))
+
+
 def construct(c: Compiler, q: ast.Query) -> DataFrame:
     """The set of triples of the template over all solutions; blank nodes of the template are new in each solution,
     and triples with an unbound or unfit term are left out."""

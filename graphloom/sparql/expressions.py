@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..terms import NUMERIC, SQL, TERM, XSD, KINDS, Kind, as_term, datatype, escaped, language, lexical, native
+from ..terms import KINDS, NUMERIC, RANKS, SQL, TERM, XSD, Kind, as_term, datatype, escaped, exact, instant, language, lexical, native, number_term, rank, shared
 from . import parser as ast
 
 INT, DOUBLE, DECIMAL, STR, BOOL, TIME = (Kind(k) for k in ("int", "double", "decimal", "str", "bool", "time"))
@@ -33,6 +33,24 @@ def evaluate(e, scope: Scope) -> tuple[Column, Kind]:
     if name == "BOUND":
         return evaluate(args[0], scope)[0].isNotNull(), BOOL
     values = [evaluate(x, scope) for x in args]
+    # Terms that are computed are evaluated once: what takes them names them many times.
+    large = [i for i, (a, (_, k)) in enumerate(zip(args, values)) if k == TERM and isinstance(a, ast.Call)]
+    if not large or name in ("IF", "COALESCE", "BNODE"):
+        return _apply(name, values)
+    kinds = []
+
+    def body(row):
+        own = list(values)
+        for i in large:
+            own[i] = (row[f"a{i}"], TERM)
+        column, kind = _apply(name, own)
+        kinds.append(kind)
+        return column
+
+    return shared(F.struct(*(values[i][0].alias(f"a{i}") for i in large)), body), kinds[0]
+
+
+def _apply(name: str, values: list) -> tuple[Column, Kind]:
     if name in _COMPARE:
         return compare(name, *values), BOOL
     if name == "IN":
@@ -111,7 +129,15 @@ def compare(op: str, x, y) -> Column:
             return same if op == "=" else ~same
         return F.lit(None).cast("boolean")
     # At least one of unknown sort: by value for each sort that both have.
-    cases = [(native(a, k, to), native(b, m, to)) for to in ("double", "str", "bool", "time", "date") if k.name in (to, "term") or to == "double" and k.name in NUMERIC if m.name in (to, "term") or to == "double" and m.name in NUMERIC]
+    cases = []
+    if {k.name, m.name} <= {"int", "decimal", "term"}:
+        # Exact numbers as such: doubles have 53 bits.
+        whole = (rank(a, k) == 0) & (rank(b, m) == 0)
+        cases.append(tuple(F.when(whole, exact(*x, "decimal(38,0)")) for x in ((a, k), (b, m))))
+        cases.append(tuple(exact(*x, "decimal(38,18)") for x in ((a, k), (b, m))))
+    if {k.name, m.name} <= {"time", "term"}:
+        cases.append((instant(a, k), instant(b, m)))
+    cases += [(native(a, k, to), native(b, m, to)) for to in ("double", "str", "bool", "time", "date") if k.name in (to, "term") or to == "double" and k.name in NUMERIC if m.name in (to, "term") or to == "double" and m.name in NUMERIC]
     out = None
     for p, q in cases:
         cond = p.isNotNull() & q.isNotNull()
@@ -124,6 +150,8 @@ def compare(op: str, x, y) -> Column:
 
 
 def arithmetic(op: str, x, y) -> tuple[Column, Kind]:
+    if TERM in (x[1], y[1]):
+        return _term_arithmetic(op, x, y), TERM
     names = [k.name if k.name in NUMERIC else "double" for _, k in (x, y)]
     wide = max(names, key=NUMERIC.index)
     if op == "/" and wide == "int":
@@ -131,10 +159,38 @@ def arithmetic(op: str, x, y) -> tuple[Column, Kind]:
     a, b = native(*x, wide), native(*y, wide)
     f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
     if wide == "double" and op == "/":
-        return F.when(b == 0, F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))).otherwise(F.try_divide(a, b)), DOUBLE
+        return _quotient(a, b), DOUBLE
     return f(a, b).cast(SQL[wide]), Kind(wide)
 
 
+def _quotient(a: Column, b: Column) -> Column:
+    return F.when(b == 0, F.when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))).otherwise(F.try_divide(a, b))
+
+
+def _term_arithmetic(op: str, x, y) -> Column:
+    """By the types that the literals name: the result has the wider one; integers are divided as decimals."""
+    f = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply, "/": F.try_divide}[op]
+
+    def result(row):
+        p, q = row["x"], row["y"]
+        place = F.when(p["rank"].isNotNull() & q["rank"].isNotNull(), F.greatest(p["rank"], q["rank"]))
+        if op == "/":
+            place = F.when(place == RANKS["int"], F.lit(RANKS["decimal"])).otherwise(place)
+        of = lambda k, sql: f(p[k], q[k]).try_cast(sql)
+        return number_term(place, of("whole", "decimal(38,0)"), of("decimal", "decimal(38,18)"), _quotient(p["double"], q["double"]) if op == "/" else f(p["double"], q["double"]))
+
+    return shared(F.struct(_parts(x).alias("x"), _parts(y).alias("y")), result)
+
+
+def _parts(x) -> Column:
+    return F.struct(rank(*x).alias("rank"), exact(*x, "decimal(38,0)").alias("whole"), exact(*x, "decimal(38,18)").alias("decimal"), native(*x, "double").alias("double"))
+
+
+def _term_numeric(f):
+    """f of a literal's number, with its type."""
+    return lambda x: shared(_parts(x), lambda v: number_term(v["rank"], f(v["whole"]).try_cast("decimal(38,0)"), f(v["decimal"]).try_cast("decimal(38,18)"), f(v["double"]).cast("double")))
+
+
 def cast(x, to: str) -> tuple[Column, Kind]:
     c, kind = x
     if to == "string":
@@ -155,8 +211,8 @@ def cast(x, to: str) -> tuple[Column, Kind]:
 def order_keys(c: Column, kind: Kind, down: bool | None) -> list[Column]:
     """Sort keys: unbound, blank nodes, IRIs, literals by value. down None: as plain columns."""
     if kind.name == "term":
-        rank = F.when(c.isNull(), 0).when(c.startswith("_:"), 1).when(c.startswith('"'), 3).otherwise(2)
-        keys = [rank, native(c, kind, "double"), F.coalesce(native(c, kind, "str"), c)]
+        order = F.when(c.isNull(), 0).when(c.startswith("_:"), 1).when(c.startswith('"'), 3).otherwise(2)
+        keys = [order, native(c, kind, "double"), exact(c, kind, "decimal(38,18)"), instant(c, kind), F.coalesce(native(c, kind, "str"), c)]
     else:
         keys = [c]
     return keys if down is None else [k.desc_nulls_last() if down else k.asc_nulls_first() for k in keys]
@@ -167,13 +223,37 @@ def _text(x) -> Column:
     return native(*x, "str") if x[1].name in ("str", "term") else F.lit(None).cast("string")
 
 
+def _tag(x) -> Column:
+    """The language tag with its mark, of a literal as it is written; empty without."""
+    return F.when(x[0].isNotNull(), F.regexp_extract(x[0], r'"(@[A-Za-z]+(?:-[A-Za-z0-9]+)*)$', 1) if x[1] == TERM else F.lit(""))
+
+
+def _like(x, text: Column):
+    """A text with the language of x."""
+    return (F.concat(F.lit('"'), escaped(text), F.lit('"'), _tag(x)), TERM) if x[1] == TERM else (text, STR)
+
+
+def _second(x, y) -> Column:
+    """The string of y, where its language is none or that of x."""
+    text = _text(y)
+    if y[1] != TERM:
+        return text
+    return F.when((_tag(y) == "") | (F.lower(_tag(y)) == F.lower(_tag(x))), text)
+
+
 def _of_text(f):
     return lambda x: (f(_text(x)), STR)
 
 
+def _same_language(f):
+    return lambda x: _like(x, f(_text(x)))
+
+
 def _numeric(f):
     def run(x):
         c, kind = x
+        if kind == TERM:
+            return _term_numeric(f)(x), TERM
         if kind.name not in NUMERIC:
             c, kind = native(c, kind, "double"), DOUBLE
         return f(c).cast(SQL[kind.name]), kind
@@ -185,7 +265,8 @@ def _time(x) -> Column:
     c, kind = x
     if kind.name in ("time", "date"):
         return c
-    return F.substring(F.when(datatype(c, kind).isin(XSD + "dateTime", XSD + "date"), lexical(c, kind)), 1, 19).try_cast("timestamp_ntz")
+    text = F.when(datatype(c, kind).isin(XSD + "dateTime", XSD + "date"), lexical(c, kind))
+    return F.regexp_replace(text, r"(Z|[+-]\d\d:\d\d)$", "").try_cast("timestamp_ntz")
 
 
 def _part(f):
@@ -210,32 +291,43 @@ def _regex(s, p, flags=None):
 
 
 def _replace(s, p, r, flags=None):
-    return F.regexp_replace(_text(s), _pattern(_text(p), flags), _text(r)), STR
+    return _like(s, F.regexp_replace(_text(s), _pattern(_text(p), flags), _text(r)))
 
 
 def _substr(s, start, length=None):
     text, a = _text(s), native(*start, "int").cast("int")
     if length is None:
-        return F.substr(text, F.greatest(a, F.lit(1))), STR
+        return _like(s, F.substr(text, F.greatest(a, F.lit(1))))
     end = a + native(*length, "int").cast("int")
     first = F.greatest(a, F.lit(1))
-    return F.substr(text, first, F.greatest(end - first, F.lit(0))), STR
+    return _like(s, F.substr(text, first, F.greatest(end - first, F.lit(0))))
 
 
-def _before(s, t):
-    a, b = _text(s), _text(t)
+def _cut(s, t, part):
+    """Part of s beside its first t; where t is not in s, an empty string without language."""
+    a, b = _text(s), _second(s, t)
     at = F.position(b, a)
-    return F.when(at > 0, F.substr(a, F.lit(1), at - 1)).when(a.isNotNull() & b.isNotNull(), ""), STR
+    found, kind = _like(s, part(a, b, at))
+    return F.when(at > 0, found).when(a.isNotNull() & b.isNotNull(), '""' if kind == TERM else ""), kind
+
+
+def _before(s, t):
+    return _cut(s, t, lambda a, b, at: F.substr(a, F.lit(1), at - 1))
 
 
 def _after(s, t):
-    a, b = _text(s), _text(t)
-    at = F.position(b, a)
-    return F.when(at > 0, F.substr(a, at + F.char_length(b))).when(a.isNotNull() & b.isNotNull(), ""), STR
+    return _cut(s, t, lambda a, b, at: F.substr(a, at + F.char_length(b)))
 
 
 def _concat(*xs):
-    return F.concat(*map(_text, xs)) if xs else F.lit(""), STR
+    if not xs:
+        return F.lit(""), STR
+    text = F.concat(*map(_text, xs))
+    if any(k != TERM for _, k in xs):
+        return text, STR
+    tags = [_tag(x) for x in xs]
+    same = reduce(lambda p, q: p & q, (F.lower(t) == F.lower(tags[0]) for t in tags))
+    return F.concat(F.lit('"'), escaped(text), F.lit('"'), F.when(same, tags[0]).otherwise("")), TERM
 
 
 def _is(test):
@@ -311,11 +403,11 @@ _FUNCTIONS = {
     "SAMETERM": _same_term,
     "STRLEN": lambda x: (F.char_length(_text(x)).cast("bigint"), INT),
     "SUBSTR": _substr,
-    "UCASE": _of_text(F.upper),
-    "LCASE": _of_text(F.lower),
-    "STRSTARTS": lambda a, b: (F.startswith(_text(a), _text(b)), BOOL),
-    "STRENDS": lambda a, b: (F.endswith(_text(a), _text(b)), BOOL),
-    "CONTAINS": lambda a, b: (F.contains(_text(a), _text(b)), BOOL),
+    "UCASE": _same_language(F.upper),
+    "LCASE": _same_language(F.lower),
+    "STRSTARTS": lambda a, b: (F.startswith(_text(a), _second(a, b)), BOOL),
+    "STRENDS": lambda a, b: (F.endswith(_text(a), _second(a, b)), BOOL),
+    "CONTAINS": lambda a, b: (F.contains(_text(a), _second(a, b)), BOOL),
     "STRBEFORE": _before,
     "STRAFTER": _after,
     "CONCAT": _concat,

@@ -18,10 +18,9 @@ from pyspark.sql import functions as F
 
 XSD = "http://www.w3.org/2001/XMLSchema#"
 DATATYPES = {"int": XSD + "integer", "double": XSD + "double", "decimal": XSD + "decimal", "str": XSD + "string", "bool": XSD + "boolean", "time": XSD + "dateTime", "date": XSD + "date"}
-KINDS = {v: k for k, v in DATATYPES.items()} | {XSD + k: "int" for k in ("int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "unsignedInt", "unsignedLong")} | {XSD + "float": "double"}
+KINDS = {v: k for k, v in DATATYPES.items()} | {XSD + k: "int" for k in ("int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger", "nonPositiveInteger", "negativeInteger", "unsignedLong", "unsignedInt", "unsignedShort", "unsignedByte")} | {XSD + "float": "double"}
 NUMERIC = ("int", "decimal", "double")
 SQL = {"int": "bigint", "double": "double", "decimal": "decimal(38,18)", "str": "string", "bool": "boolean", "time": "timestamp_ntz", "date": "date"}
-_LITERAL = re.compile(r'^"(?P<lex>(?:[^"\\]|\\.)*)"(?:@(?P<lang>[A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<(?P<dt>[^>]*)>)?$', re.S)
 _OUT = {"\\": "\\\\", '"': '\\"', "\n": "\\n", "\r": "\\r", "\t": "\\t"}
 
 
@@ -43,10 +42,37 @@ def split_literal(term: str) -> tuple[str, str | None, str | None]:
     """Lexical form, datatype and language of a canonical literal; ValueError if malformed."""
     from .sparql.parser import unescape
 
-    m = _LITERAL.match(term)
-    if not m:
-        raise ValueError(f"malformed literal: {term!r}")
-    return unescape(m["lex"]), m["dt"], m["lang"]
+    end = 1
+    while end < len(term) and term[end] != '"':
+        end += 2 if term[end] == "\\" else 1
+    body, tail = term[1:end], term[end + 1 :]
+    closed = term[:1] == '"' and end < len(term)
+    if closed and not tail:
+        return unescape(body), None, None
+    if closed and tail[:1] == "@":
+        first, *rest = tail[1:].split("-")
+        if first.isascii() and first.isalpha() and all(x.isascii() and x.isalnum() for x in rest):
+            return unescape(body), None, tail[1:]
+    if closed and tail[:3] == "^^<" and tail.find(">") == len(tail) - 1:
+        return unescape(body), tail[3:-1], None
+    raise ValueError(f"malformed literal: {term!r}")
+
+
+def encode_term(lex: str, kind: str = "iri", datatype: str | None = None, language: str | None = None) -> str:
+    """The canonical string of a term of a kind: iri, bnode or literal."""
+    if kind == "literal":
+        return literal(lex, datatype, language)
+    if kind not in ("iri", "bnode"):
+        raise ValueError(f"unknown kind of term: {kind}")
+    return lex if kind == "iri" else f"_:{lex}"
+
+
+def decode_term(term: str) -> tuple[str, str, str | None, str | None]:
+    """Lexical form, kind, datatype and language of a canonical string."""
+    if term.startswith('"'):
+        lex, dt, lang = split_literal(term)
+        return lex, "literal", dt, lang
+    return (term[2:], "bnode", None, None) if term.startswith("_:") else (term, "iri", None, None)
 
 
 def as_term(c: Column, kind: Kind) -> Column:
@@ -77,7 +103,8 @@ def lexical(c: Column, kind: Kind) -> Column:
     if kind.name == "iri":
         return as_term(c, kind)
     if kind.name == "time":
-        return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+        rest = F.regexp_replace(F.date_format(c, ".SSSSSS"), r"\.?0+$", "")
+        return F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss"), rest)
     if kind.name == "decimal":
         return F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
     return c.cast("string")
@@ -99,6 +126,52 @@ def language(c: Column, kind: Kind) -> Column:
     return F.when(c.isNotNull(), F.lit(None if kind.name == "iri" else ""))
 
 
+def shared(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+#: Numeric kinds by promotion; values of several are computed in the widest.
+RANKS = {"int": 0, "decimal": 1, "float": 2, "double": 3}
+
+
+def rank(c: Column, kind: Kind) -> Column:
+    """The number's place in RANKS; NULL if it is no number."""
+    if kind.name != "term":
+        return F.when(c.isNotNull() & F.lit(kind.name in NUMERIC), F.lit(RANKS.get(kind.name, 0)))
+    dt = datatype(c, kind)
+    of = {n: [d for d, k in KINDS.items() if k == n and d != XSD + "float"] for n in NUMERIC} | {"float": [XSD + "float"]}
+    out = None
+    for n, place in RANKS.items():
+        test = dt.isin(*of[n])
+        out = F.when(test, F.lit(place)) if out is None else out.when(test, F.lit(place))
+    return F.when(native(c, kind, "double").isNotNull(), out)
+
+
+def exact(c: Column, kind: Kind, sql: str) -> Column:
+    """A number as an exact decimal of that type; NULL if it is none, or wider."""
+    if kind.name == "term":
+        return F.when(rank(c, kind) <= 1, lexical(c, kind)).try_cast(sql)
+    return c.try_cast(sql) if kind.name in ("int", "decimal") else F.lit(None).cast(sql)
+
+
+def number_term(place: Column, whole: Column, decimal: Column, double: Column) -> Column:
+    """Canonical terms of numbers of that rank: whole is decimal(38,0), decimal is decimal(38,18)."""
+    typed = lambda lex, dt: F.concat(F.lit('"'), lex, F.lit(f'"^^<{XSD}{dt}>'))
+    short = lexical(decimal, Kind("decimal"))
+    cases = ((0, typed(whole.cast("string"), "integer")), (1, typed(short, "decimal")), (2, typed(double.cast("float").cast("string"), "float")), (3, typed(double.cast("string"), "double")))
+    out = F.lit(None).cast("string")
+    for n, text in cases:
+        out = F.when(place == n, text).otherwise(out)
+    return out
+
+
+def instant(c: Column, kind: Kind) -> Column:
+    """The point in time of a dateTime; one without a zone is in UTC."""
+    text = lexical(c, kind) if kind.name == "time" else F.when(datatype(c, kind) == DATATYPES["time"], lexical(c, kind))
+    return F.when(F.regexp_like(text, F.lit(r"(Z|[+-]\d\d:\d\d)$")), text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp")
+
+
 def native(c: Column, kind: Kind, to: str) -> Column:
     """The value as a native column of a literal kind; NULL if it is not of that sort."""
     if kind.name == to:
