@@ -7,7 +7,7 @@ import os
 import time
 import uuid
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.sql import SparkSession
 
@@ -97,6 +97,18 @@ class FileStats:
     subject_count: int
     object_count: int
     predicates: dict[str, int] = field(default_factory=dict)
+    #: The least and the greatest subject, by bytes; not part of the saved file's entry.
+    span: tuple[str, str] | None = None
+
+    def saved(self, base: str) -> dict:
+        """What a catalog file holds of it, its path from that folder."""
+        out = {f.name: getattr(self, f.name) for f in fields(self) if f.name != "span"}
+        return out | {"path": os.path.relpath(self.path, base)}
+
+    @classmethod
+    def restored(cls, entry: dict, base: str, spans: dict) -> FileStats:
+        span = spans.get(entry["path"])
+        return cls(**entry | {"path": os.path.normpath(os.path.join(base, entry["path"])), "span": tuple(span) if span else None})
 
     def is_current(self, path: str) -> bool:
         try:
@@ -119,7 +131,7 @@ def file_state(path: str) -> tuple[int, float]:
 def file_stats(path: str) -> FileStats:
     size, mtime = file_state(path)
     g = codec.decode(read_bytes(path), verify=False)
-    return FileStats(path, size, mtime, len(g), g.subject_count, g.object_count, g.predicate_counts())
+    return FileStats(path, size, mtime, len(g), g.subject_count, g.object_count, g.predicate_counts(), g.subject_span())
 
 
 @dataclass
@@ -164,7 +176,7 @@ class Catalog:
             if raw["version"] == VERSION:
                 base = os.path.dirname(mapping.source)
                 for urn, u in raw["urns"].items():
-                    have[urn] = UrnStats(urn, [FileStats(**{**x, "path": os.path.normpath(os.path.join(base, x["path"]))}) for x in u["files"]])
+                    have[urn] = UrnStats(urn, [FileStats.restored(x, base, raw.get("spans", {})) for x in u["files"]])
         except (OSError, ValueError, KeyError, TypeError, AttributeError):
             have = {}
         out = cls(mapping, {}, cache, spark)
@@ -186,7 +198,7 @@ class Catalog:
                     yield pd.DataFrame({"stats": [json.dumps(asdict(file_stats(p))) for p in frame["path"]]})
 
             rows = self.spark.createDataFrame([(p,) for p in paths], "path string").repartition(min(len(paths), 4 * self.spark.sparkContext.defaultParallelism)).mapInPandas(stats, "stats string").collect()
-            by = {x.path: x for x in (FileStats(**json.loads(r.stats)) for r in rows)}
+            by = {x["path"]: FileStats(**x) for x in (json.loads(r.stats) for r in rows)}
         else:
             by = {p: file_stats(p) for p in paths}
         for u in urns:
@@ -199,10 +211,11 @@ class Catalog:
 
     def save(self) -> None:
         base = os.path.dirname(self.mapping.source)
-        urns = {u: {"urn": u, "files": [{**asdict(f), "path": os.path.relpath(f.path, base)} for f in s.files]} for u, s in self.stats.items()}
+        urns = {u: {"urn": u, "files": [f.saved(base) for f in s.files]} for u, s in self.stats.items()}
+        spans = {os.path.relpath(f.path, base): f.span for s in self.stats.values() for f in s.files if f.span}
         aside = f"{self.cache}.{uuid.uuid4().hex}"
         with open(aside, "w", encoding="utf-8") as f:
-            json.dump({"version": VERSION, "built_at": time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime()), "mapping": self.mapping.source, "urns": urns}, f, indent=2)
+            json.dump({"version": VERSION, "built_at": time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime()), "mapping": self.mapping.source, "urns": urns, "spans": spans}, f, indent=2)
         os.replace(aside, self.cache)
 
     def stats_for(self, urn: str) -> UrnStats:
@@ -218,6 +231,12 @@ class Catalog:
     def files_with_predicate(self, urn: str, predicate: str | None) -> list[str] | None:
         return self.stats[urn].files_with_predicate(predicate)
 
+    def may_overlap(self, urn: str, files: list[str]) -> bool:
+        """Whether two of a graph's files may hold the same triple: not if their subjects lie apart."""
+        known = {f.path: f.span for f in self.stats[urn].files} if urn in self.stats else {}
+        spans = sorted(tuple(x.encode() for x in known[f]) if known.get(f) else (b"", b"") for f in files)
+        return any(b"" in a or a[1] >= b[0] for a, b in zip(spans, spans[1:]))
+
     def __contains__(self, urn: str) -> bool:
         return urn in self.stats
 

@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import Catalog, Mapping
-from .dataset import SparkDataset
+from .dataset import SparkDataset, prepare
 from .sources import datasource
 from .sparql.compile import Compiler, construct, describe
 from .sparql.parser import Var, parse
 from .sparql.scratch import folder
 from .terms import TERM, lexical
-from .virtual import VirtualGraphs
+from .virtual import Schema, VirtualGraphs
 
 NS = {"c": "urn:col:", "t": "urn:tab:", "k": "urn:class:", "xsd": "http://www.w3.org/2001/XMLSchema#"}
 
@@ -82,6 +82,8 @@ _Q: dict[str, tuple[str, str, str]] = {
     "construct": ("nation", "CONSTRUCT {?n k:label ?x; k:of ?r} WHERE {?n c:n_name ?x; c:n_regionkey ?r}", "SELECT 'urn:nation:' || n_nationkey AS s, unnest(['urn:class:label', 'urn:class:of']) AS p, unnest(['\"' || n_name || '\"', 'urn:region:' || n_regionkey]) AS o FROM nation"),
     "describe": ("nation region", "DESCRIBE <urn:region:1>", "SELECT 'urn:region:1' AS s, unnest(['urn:col:r_regionkey', 'urn:col:r_name', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS p, unnest(['\"1\"^^<http://www.w3.org/2001/XMLSchema#integer>', '\"' || r_name || '\"', 'urn:class:Region']) AS o FROM region WHERE r_regionkey = 1"),
     "path_neg": ("nation", "SELECT ?o {?s !(c:n_name|c:n_nationkey|c:n_regionkey_raw|a) ?o}", "SELECT 'urn:region:' || n_regionkey AS o FROM nation"),
+    "path_plus_to": ("conversations", "SELECT ?a {?a c:nextTurn+ <urn:conversations:1-3>}", "SELECT 'urn:conversations:' || conv_id || '-' || turn AS a FROM conversations WHERE conv_id = 1 AND turn < 3 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 1 AND turn = 3)"),
+    "fn_time_parts": ("orders", "SELECT ?k (YEAR(?d) AS ?y) (MONTH(?d) AS ?m) (HOURS(?t) AS ?h) (MINUTES(?t) AS ?i) (TZ(?t) AS ?z) {?x c:o_orderkey ?k; c:o_orderdate ?d BIND(xsd:dateTime(CONCAT(SUBSTR(STR(?d), 1, 10), 'T07:08:09')) AS ?t)}", "SELECT o_orderkey AS k, year(o_orderdate) AS y, month(o_orderdate) AS m, 7 AS h, 8 AS i, '' AS z FROM orders"),
     "path_star": ("conversations", "SELECT ?b {<urn:conversations:1-0> c:nextTurn* ?b}", "SELECT DISTINCT 'urn:conversations:' || b AS b FROM (SELECT '1-0' AS b UNION ALL SELECT conv_id || '-' || turn FROM conversations WHERE conv_id = 1 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 1 AND turn = 0))"),
     "path_opt": ("conversations", "SELECT ?b {<urn:conversations:1-0> c:nextTurn? ?b}", "SELECT DISTINCT 'urn:conversations:' || b AS b FROM (SELECT '1-0' AS b UNION ALL SELECT '1-1' FROM conversations WHERE conv_id = 1 AND turn = 1 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 1 AND turn = 0))"),
     "agg_sum_avg": ("orders", "SELECT ?s (SUM(?k) AS ?t) (ROUND(AVG(?p)) AS ?v) {?o c:o_orderstatus ?s; c:o_orderkey ?k; c:o_totalprice ?p} GROUP BY ?s", "SELECT o_orderstatus AS s, CAST(sum(o_orderkey) AS BIGINT) AS t, floor(avg(o_totalprice) + 0.5) AS v FROM orders GROUP BY 1"),
@@ -99,10 +101,19 @@ _Q: dict[str, tuple[str, str, str]] = {
 }
 
 
+#: Keys of the tables that the queries run on.
+TABLES = Schema(
+    keys={"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "documents": "doc_id", "embeddings": "vec_id", "pages": "page_id", "benchmark": "item_id", "labels": "doc_id", "conversations": ("conv_id", "turn")},
+    foreign={"n_regionkey": "region", "c_nationkey": "nation", "s_nationkey": "nation", "o_custkey": "customer", "l_orderkey": "orders", "l_partkey": "part", "l_suppkey": "supplier"},
+    same={"labels.doc_id": "documents"},
+    following={"conversations": ("nextTurn", "conv_id", "turn")},
+)
+
+
 def _run(tables: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         q = parse(text, NS)
-        c = Compiler(spark, VirtualGraphs(spark, sf_dir, tables.split()))
+        c = Compiler(spark, VirtualGraphs(spark, sf_dir, tables.split(), TABLES))
         if q.form in ("CONSTRUCT", "DESCRIBE"):
             return (construct if q.form == "CONSTRUCT" else describe)(c, q)
         rel = c.query(q)
@@ -114,7 +125,7 @@ def _run(tables: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _triples(spark: SparkSession, sf_dir: str, tables: str) -> DataFrame:
-    c = Compiler(spark, VirtualGraphs(spark, sf_dir, tables.split()))
+    c = Compiler(spark, VirtualGraphs(spark, sf_dir, tables.split(), TABLES))
     return c.bgp(((Var("s"), Var("p"), Var("o")),), c.source.urns).as_terms({"s", "p", "o"}).df.select("s", "p", "o")
 
 
@@ -156,11 +167,55 @@ def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reorder_hdt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A join over HDT files with its patterns in the order of their estimates."""
-    text = "SELECT ?s ?r {?x c:s_name ?s. ?x c:s_nationkey ?n. ?n c:n_regionkey ?g. ?g c:r_name ?r}"
-    df = _dataset(spark, sf_dir).query(text, NS).df
+    return _over_files("SELECT ?s ?r {?x c:s_name ?s. ?x c:s_nationkey ?n. ?n c:n_regionkey ?g. ?g c:r_name ?r}")(spark, sf_dir)
+
+
+def prepared_hdt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = _dataset(spark, sf_dir)
+    return _lexical(prepare("SELECT ?n ?r {?x c:n_name ?n; c:n_regionkey ?g. ?g c:r_name ?r}", ds.catalog, init_ns=NS).run(ds).df)
+
+
+def hdtcat_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two files joined as single files: the set of their triples."""
+    from .convert import hdtcat
+
+    files = [f for tables in ("nation region", "region") for f in _written(_triples(spark, sf_dir, tables).coalesce(1), "hdt")]
+    local = [f.removeprefix("file://") if f.startswith("file://") else f for f in files]
+    target = f"{folder(spark, 'cat')}.hdt"
+    hdtcat(local, target.removeprefix("file://") if target.startswith("file://") else target)
+    return datasource.read(spark, "hdt", [target], verify="true").select("s", "p", "o")
+
+
+def _lexical(df: DataFrame) -> DataFrame:
     return df.select(*(lexical(df[c], TERM).alias(c) for c in df.columns))
 
 
+def _over_files(text: str, default_union: bool = True) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ds = _dataset(spark, sf_dir)
+        ds.default_union = default_union
+        return _lexical(ds.query(text, NS).df)
+
+    return query
+
+
+#: Over HDT files of nation, region and supplier: text and SQL; values are lexical forms.
+_HDT = {
+    "hdt_limit": ("SELECT (COUNT(*) AS ?n) {SELECT ?s {?s c:s_name ?o} LIMIT 7}", "SELECT '7' AS n"),
+    "hdt_optional": ("SELECT ?n ?s {?x c:n_name ?n OPTIONAL {?y c:s_nationkey ?x; c:s_name ?s}}", "SELECT n_name AS n, s_name AS s FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey"),
+    "hdt_agg_sum": ("SELECT ?g (SUM(?k) AS ?t) (COUNT(?k) AS ?n) (MIN(?k) AS ?a) (MAX(?k) AS ?b) {?x c:n_regionkey ?g; c:n_nationkey ?k} GROUP BY ?g", "SELECT 'urn:region:' || n_regionkey AS g, CAST(sum(n_nationkey) AS VARCHAR) AS t, CAST(count(*) AS VARCHAR) AS n, CAST(min(n_nationkey) AS VARCHAR) AS a, CAST(max(n_nationkey) AS VARCHAR) AS b FROM nation GROUP BY 1"),
+    "hdt_arith": ("SELECT ?k (?k * 3 - 1 AS ?v) (DATATYPE(?k + 1) AS ?d) (?k / 4 AS ?q) {?x c:n_nationkey ?k}", "SELECT CAST(n_nationkey AS VARCHAR) AS k, CAST(n_nationkey * 3 - 1 AS VARCHAR) AS v, 'http://www.w3.org/2001/XMLSchema#integer' AS d, CASE n_nationkey % 4 WHEN 0 THEN n_nationkey // 4 || '.0' WHEN 1 THEN n_nationkey // 4 || '.25' WHEN 2 THEN n_nationkey // 4 || '.5' ELSE n_nationkey // 4 || '.75' END AS q FROM nation"),
+    "hdt_lang_string": ('SELECT ?n (UCASE(STRLANG(?n, "en")) AS ?u) (LANG(SUBSTR(STRLANG(?n, "en"), 1, 2)) AS ?l) (LANG(CONCAT(STRLANG(?n, "en"), ?n)) AS ?m) {?x c:r_name ?n}', "SELECT r_name AS n, upper(r_name) AS u, 'en' AS l, '' AS m FROM region"),
+    "hdt_filter_compare": ("SELECT ?n {?x c:n_name ?n; c:n_nationkey ?k FILTER(?k >= 7 && ?k != 9.0)}", "SELECT n_name AS n FROM nation WHERE n_nationkey >= 7 AND n_nationkey <> 9"),
+    "hdt_order": ("SELECT ?n {?x c:n_name ?n; c:n_nationkey ?k} ORDER BY DESC(?k) LIMIT 4 OFFSET 1", "SELECT n_name AS n FROM nation ORDER BY n_nationkey DESC LIMIT 4 OFFSET 1"),
+    "hdt_graph_var": ("SELECT ?g (COUNT(*) AS ?n) {GRAPH ?g {?s a ?c}} GROUP BY ?g", "SELECT 'urn:tab:nation' AS g, CAST(count(*) AS VARCHAR) AS n FROM nation UNION ALL SELECT 'urn:tab:region', CAST(count(*) AS VARCHAR) FROM region UNION ALL SELECT 'urn:tab:supplier', CAST(count(*) AS VARCHAR) FROM supplier"),
+    "hdt_minus": ("SELECT ?n {?x c:n_name ?n MINUS {?y c:s_nationkey ?x}}", "SELECT n_name AS n FROM nation WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = n_nationkey)"),
+    "hdt_path_seq": ("SELECT ?r (COUNT(*) AS ?n) {?x c:s_nationkey/c:n_regionkey/c:r_name ?r} GROUP BY ?r", "SELECT r_name AS r, CAST(count(*) AS VARCHAR) AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
+    "hdt_not_in": ("SELECT ?n {?x c:n_name ?n; c:n_nationkey ?k FILTER(?k NOT IN (1, 2, 3))}", "SELECT n_name AS n FROM nation WHERE n_nationkey NOT IN (1, 2, 3)"),
+}
+_PLAIN = {"hdt_no_default_graph": ("SELECT ?s {?s ?p ?o}", "SELECT r_name AS s FROM region WHERE false")}
+
+
 _TRIPLES = """SELECT 'urn:nation:' || n_nationkey AS s,
   unnest(['urn:col:n_nationkey', 'urn:col:n_name', 'urn:col:n_regionkey', 'urn:col:n_regionkey_raw', 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type']) AS p,
   unnest(['"' || n_nationkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>', '"' || n_name || '"', 'urn:region:' || n_regionkey, '"' || n_regionkey || '"^^<http://www.w3.org/2001/XMLSchema#integer>', 'urn:class:Nation']) AS o
@@ -176,7 +231,11 @@ _FILES = {
     hdtcat_dedup: _TRIPLES,
     catalog_stats: _STATS,
     reorder_hdt: "SELECT s_name AS s, r_name AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    prepared_hdt: "SELECT n_name AS n, r_name AS r FROM nation JOIN region ON n_regionkey = r_regionkey",
+    hdtcat_files: _TRIPLES,
 }
 
-QUERIES = {name: _run(tables, text) for name, (tables, text, _) in _Q.items()} | {f.__name__: f for f in _FILES}
-ORACLES = {name: sql for name, (_, _, sql) in _Q.items()} | {f.__name__: sql for f, sql in _FILES.items()}
+_BY_NAME = [({n: _run(tables, text) for n, (tables, text, _) in _Q.items()}, {n: sql for n, (_, _, sql) in _Q.items()}), ({f.__name__: f for f in _FILES}, {f.__name__: sql for f, sql in _FILES.items()})]
+_BY_NAME += [({n: _over_files(text, part is _HDT) for n, (text, _) in part.items()}, {n: sql for n, (_, sql) in part.items()}) for part in (_HDT, _PLAIN)]
+QUERIES = {n: f for queries, _ in _BY_NAME for n, f in queries.items()}
+ORACLES = {n: sql for _, oracles in _BY_NAME for n, sql in oracles.items()}

@@ -283,6 +283,11 @@ class Graph:
     def object_count(self) -> int:
         return len(self.shared) + len(self.objects)
 
+    def subject_span(self) -> tuple[str, str] | None:
+        """The least and the greatest subject, in the order of bytes."""
+        ends = [x for part in (self.shared, self.subjects) if part for x in (part[0], part[-1])]
+        return (min(ends, key=str.encode), max(ends, key=str.encode)) if ends else None
+
     def predicate_counts(self) -> dict[str, int]:
         n = np.bincount(self.p, minlength=len(self.predicates) + 1)[1:]
         return {t: int(k) for t, k in zip(self.predicates, n)}

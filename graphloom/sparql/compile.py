@@ -463,7 +463,11 @@ class Compiler:
                 columns.append(c.alias(name))
                 kinds[name] = kind
                 ends.append((name, None, o))
-        df = t.df.select(*[c for c in columns if True][:1], *columns[1:]) if sum(1 for _, p, _ in ends if p is not None) <= 1 else reduce(lambda d, c: d.select("*", c), columns[1:], t.df.select("*", columns[0]))
+        source = t.wide if any(isinstance(p, ast.Var) or p.value[len(COL) :] in t.derived for _, p, _ in triples) and t.derived else t.df
+        if sum(1 for _, p, _ in ends if p is not None) <= 1:
+            df = source.select(*columns)
+        else:  # one generator a projection
+            df = reduce(lambda d, c: d.select("*", c), columns[1:], source.select("*", columns[0]))
         for name, p, _ in list(ends):
             if p is not None:
                 df = df.withColumns({name + "p": F.col(f"`{name}`")["p"], name + "o": F.col(f"`{name}`")["o"]})
@@ -526,7 +530,11 @@ class Compiler:
         kind = edges.kinds[".s"]
         edges = Rel(edges.df.select("`.s`", "`.o`").distinct(), {".s": kind, ".o": kind})
         if p.op in ("plus", "star"):
-            edges = Rel(self.closure(edges, s, kind), edges.kinds)
+            # From the fixed end, against the edges if only the far one is fixed.
+            turned = (s is None or isinstance(s, ast.Var)) and o is not None and not isinstance(o, ast.Var)
+            names = (".o", ".s") if turned else (".s", ".o")
+            pairs = self.closure(edges.df.select(*(f"`{n}`" for n in names)), o if turned else s, kind)
+            edges = Rel(pairs.toDF(*names).select("`.s`", "`.o`"), edges.kinds)
         if p.op in ("star", "opt"):
             edges = self.with_zero(edges, graphs, s, o)
         return edges
@@ -543,20 +551,24 @@ class Compiler:
         both = self.union([edges.as_terms({".s", ".o"}), zero])
         return Rel(both.df.distinct(), both.kinds)
 
-    def closure(self, edges: Rel, s, kind: Kind) -> DataFrame:
-        """Pairs joined by one edge or more: each round extends new pairs only, and is written out."""
+    def closure(self, edges: DataFrame, s, kind: Kind) -> DataFrame:
+        """Pairs joined by one edge or more, from s if it is fixed: each round extends new pairs only, and is written out."""
         from .scratch import materialize
 
-        base = materialize(edges.df.toDF("a", "b"), "edges")
+        base = materialize(edges.toDF("a", "b"), "edges")
         start = base
         if s is not None and not isinstance(s, ast.Var):
             start = self.restricted(Rel(base.select(F.col("a").alias(".s"), F.col("a"), F.col("b")), {".s": kind, "a": kind, "b": kind}), ".s", s).df.select("a", "b")
         seen = frontier = materialize(start, "paths")
+        rounds = 0
         while not frontier.isEmpty():
+            rounds += 1
+            if rounds % 8 == 0:
+                seen = materialize(seen, "paths")  # one scan for eight
             step = frontier.toDF("a", "m").join(base.toDF("m", "b"), "m").select("a", "b").distinct()
             frontier = materialize(step.join(seen, ["a", "b"], "left_anti"), "paths")
             seen = seen.union(frontier)
-        return seen.toDF(".s", ".o")
+        return seen
 
 
 def _term_total(call: ast.Call, c: Column, kind: Kind) -> Column:

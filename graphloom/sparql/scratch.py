@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the cluster; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "graphloom-scratch")
+    """A new path in the shared folder of the cluster; a local one only for a session on this machine that names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + os.path.join(tempfile.gettempdir(), "graphloom-scratch")
     return f"{base.rstrip('/')}/sparql/{name}-{uuid.uuid4().hex}"
 
 

@@ -142,3 +142,51 @@ def test_bad_mappings(tmp_path, text):
 def test_missing_mapping(tmp_path):
     with pytest.raises(cat.MappingError):
         cat.load_mapping(tmp_path)
+
+
+def test_limit_reads_the_first_files_only(spark, tmp_path, monkeypatch):
+    """Files whose subjects lie apart: no shuffle, and LIMIT opens no more files than it needs."""
+    for i in range(9):
+        (tmp_path / f"{i}.hdt").write_bytes(codec.encode([(f"u:s{i}-{k}", "u:p", f'"{k}"') for k in range(20)]))
+    (tmp_path / "map.json").write_text(json.dumps({"urn:1": [f"{i}.hdt" for i in range(9)]}))
+    ds = graphloom.dataset(spark, tmp_path, catalog=graphloom.build_catalog(tmp_path))
+    assert not ds.catalog.may_overlap("urn:1", ds.files("urn:1"))
+    assert not cat.Catalog.load(ds.mapping).may_overlap("urn:1", ds.files("urn:1"))
+    plan = ds.query("SELECT ?s ?o {?s <u:p> ?o}").df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "HashAggregate" not in plan
+    for i in range(1, 9):
+        os.truncate(tmp_path / f"{i}.hdt", 10)  # reading it would fail
+    assert len(list(ds.query("SELECT ?s {?s <u:p> ?o} LIMIT 3"))) == 3
+    assert bool(ds.query("ASK {?s <u:p> ?o}"))
+    with pytest.raises(Exception, match="truncated"):
+        list(ds.query("SELECT ?s {?s <u:p> ?o}"))
+
+
+def test_prepared_queries(ds):
+    text = "SELECT ?n ?x {?d bian:name ?n. ?d bian:deprecatedBy ?x}"
+    ready = graphloom.prepare(text, ds.catalog, ["urn:hdt:bian"], NS)
+    assert list(ready.run(ds)) == list(ready.run(ds)) == list(ds.query(text, NS))
+    with pytest.raises(TypeError):
+        graphloom.prepare("INSERT DATA {<u:a> <u:b> <u:c>}", ds.catalog)
+
+
+def test_namespaces_and_close(ds):
+    ds.bind("b", BIAN)
+    assert (ds.namespace("b"), ds.prefix(BIAN), ("b", BIAN) in ds.namespaces()) == (BIAN, "b", True)
+    assert len(ds.query("SELECT ?a {?a b:deprecatedBy ?x}")) == 1
+    ds.close()
+    assert len(ds.graph("urn:hdt:bian")) == 505
+
+
+def test_scratch_is_never_local_on_a_cluster():
+    from graphloom.sparql import scratch
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.folder(Cluster, "x")

@@ -16,7 +16,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", ["tp_p", "tp_spo", "bgp_snowflake", "optional_filter", "minus", "exists_outer_filter", "subselect", "path_alt", "path_plus", "agg_empty", "fn_string", "fn_numeric"])
+@pytest.mark.parametrize("name", ["tp_p", "tp_spo", "bgp_snowflake", "optional_filter", "minus", "exists_outer_filter", "subselect", "path_alt", "path_plus", "agg_empty", "fn_string", "fn_numeric", "hdt_agg_sum", "hdt_arith", "hdt_lang_string", "path_plus_to"])
 def test_query_equals_sql(spark, db, name):
     df = queries.QUERIES[name](spark, SF)
     sql = db.sql(queries.ORACLES[name])
