@@ -39,22 +39,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 @contextmanager
 def scratch(spark: SparkSession):
-    """Drops at its end what operators wrote within, but for the frames given to the function that it yields.
+    """Drops at its end what operators wrote within. It yields ``materialize`` for what shall stay.
 
     Results are lazy: read or write them within, or keep them."""
-    before, kept = len(_written), set()
-
-    def keep(df: DataFrame) -> DataFrame:
-        kept.update(f.rpartition("/")[0] for f in df.inputFiles())
-        return df
-
-    yield keep
-    mine = _written[before:]
-    del _written[before:]
-    for kind, name in mine:
-        if kind == "path" and any(k.rstrip("/").endswith(name.rpartition("/")[2]) for k in kept):
-            _written.append((kind, name))
-        else:
+    before, kept = len(_written), []
+
+    def keep(df: DataFrame, name: str, codec: str = "lz4_raw") -> DataFrame:
+        out = materialize(df, name, codec)
+        kept.append(_written[-1])
+        return out
+
+    try:
+        yield keep
+    finally:
+        mine = [x for x in _written[before:] if x not in kept]
+        _written[before:] = kept
+        for kind, name in mine:
             drop(spark, kind, name)
 
 
