@@ -19,7 +19,8 @@ document is rejected if its squared Mahalanobis distance exceeds ``CUT``, a quan
 
 A concentration step is one aggregation: sums of the statistics by group, start and class of distance (half a
 percent wide), from which the nearest classes are summed; of the class at the edge the fraction that fills the
-subset. So a group may hold any share of the rows; there is no sort of a group and no collection of it.
+subset. So a group may hold any share of the rows: it is joined with its estimates in ``PARTS`` parts, and
+there is no sort of a group and no collection of it.
 Repeats within a document are found in its own array of window hashes (64 bits).
 
 Defined results: a null text has no words, so it fails the base rules; nulls in language and
@@ -45,6 +46,8 @@ CUT, MEDIAN = 40.13, 2.366
 #: Least variance, for the inverse's sake; most steps of a start that still falls.
 FLOOR, STEPS = 1e-6, 40
 _X = ("x0", "x1", "x2")
+#: Parts of each group in joins with its estimates.
+PARTS = 64
 _PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
 _EST = [*(f"m{i}" for i in range(3)), *(f"c{i}{j}" for i, j in _PAIRS)]
 
@@ -129,11 +132,18 @@ def _moments(sums: DataFrame, *keys: str) -> DataFrame:
     return sums.select(*keys, *(F.round(mean(i), 12).alias(f"m{i}") for i in range(3)), *(F.round(F.col(f"q{i}{j}") / F.col("n") - mean(i) * mean(j), 15).alias(f"c{i}{j}") for i, j in _PAIRS))
 
 
+def _with(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined by grp with one or few rows of each group; a group with most of the rows is joined in parts."""
+    salt = F.pmod(F.xxhash64(*_X), F.lit(PARTS)).cast("int")
+    each = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("part", salt).join(each, ["grp", "part"], how).drop("part")
+
+
 def _starts(rows: DataFrame) -> DataFrame:
     """First estimates (grp, start, m, c), with the rows of each group as ``all``."""
     places = 3
     centre = materialize(rows.groupBy("grp").agg(F.count(F.lit(1)).alias("all"), *(F.percentile(F.round(x, places), F.lit(0.5)).alias(f"m{i}") for i, x in enumerate(_X))), "medians")
-    apart = rows.join(centre, "grp")
+    apart = _with(rows, centre)
     spread = materialize(apart.groupBy("grp").agg(*(F.greatest(F.percentile(F.abs(F.round(F.col(x) - F.col(f"m{i}"), places)), F.lit(0.5)) * 1.4826, F.lit(10.0**-places)).alias(f"d{i}") for i, x in enumerate(_X))), "deviations")
     base = centre.join(spread, "grp")
     median = base.select("grp", "all", F.lit(STARTS[0]).alias("start"), *(f"m{i}" for i in range(3)), *((F.pow(f"d{i}", F.lit(2)) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in _PAIRS))
@@ -141,7 +151,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     # Directions from the medians, whatever the distance; in units of the deviations.
     unit = [(F.col(x) - F.col(f"m{i}")) / F.col(f"d{i}") for i, x in enumerate(_X)]
     length = F.greatest(sum((u * u for u in unit[1:]), unit[0] * unit[0]), F.lit(1e-12))
-    signs = apart.join(spread, "grp").groupBy("grp").agg(*(F.avg(unit[i] * unit[j] / length).alias(f"u{i}{j}") for i, j in _PAIRS))
+    signs = _with(apart, spread).groupBy("grp").agg(*(F.avg(unit[i] * unit[j] / length).alias(f"u{i}{j}") for i, j in _PAIRS))
     signs = base.join(signs, "grp").select("grp", "all", F.lit(STARTS[2]).alias("start"), *(f"m{i}" for i in range(3)), *((F.col(f"u{i}{j}") * F.col(f"d{i}") * F.col(f"d{j}") * 3).alias(f"c{i}{j}") for i, j in _PAIRS))
     return median.unionByName(moments).unionByName(signs)
 
@@ -151,7 +161,7 @@ def mcd(rows: DataFrame) -> DataFrame:
     now = materialize(_starts(rows).withColumn("det", F.lit(float("inf"))), "estimates")
     done = None
     for step in range(STEPS):
-        classes = rows.join(now, "grp").withColumn("class", _class(_distance())).groupBy("grp", "start", "class").agg(F.first("all").alias("all"), F.first("det").alias("last"), *_sums())
+        classes = _with(rows, now).withColumn("class", _class(_distance())).groupBy("grp", "start", "class").agg(F.first("all").alias("all"), F.first("det").alias("last"), *_sums())
         upto = W.partitionBy("grp", "start").orderBy("class").rowsBetween(W.unboundedPreceding, -1)
         part = (F.ceil(F.col("all") * SUBSET) - F.coalesce(F.sum("n").over(upto), F.lit(0.0))) / F.col("n")
         share = F.least(part, F.lit(1.0))
@@ -169,7 +179,7 @@ def mcd(rows: DataFrame) -> DataFrame:
     order = F.struct("det", "start")
     best = materialize(done.groupBy("grp").agg(F.min_by(F.struct("all", *_EST), order).alias("e")).select("grp", "e.*"), "estimates")
     # Consistency: the median distance is that of the normal distribution.
-    classes = rows.join(best, "grp").groupBy("grp", _class(_distance()).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.first("all").alias("all"))
+    classes = _with(rows, best).groupBy("grp", _class(_distance()).alias("class")).agg(F.count(F.lit(1)).alias("n"), F.first("all").alias("all"))
     nearer = F.coalesce(F.sum("n").over(W.partitionBy("grp").orderBy("class").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     middle = classes.withColumn("nearer", nearer).where("nearer * 2 < all").groupBy("grp").agg(F.max("class").alias("class"))
     scale = F.greatest(F.expm1((F.col("class") + 0.5) / 200) / MEDIAN, F.lit(1.0))
@@ -206,7 +216,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     rows = stats.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
     rows = materialize(rows.select("*", *(F.round(c, 6).alias(name) for c, name in zip(vector(), _X))), "statistics")
     good = rows.where("not base_failed")
-    judged = rows.withColumn("grp", F.concat_ws("\n", F.lit("cell"), "lang", "source")).join(materialize(estimates(good), "estimates"), "grp", "left")
+    judged = _with(rows.withColumn("grp", F.concat_ws("\n", F.lit("cell"), "lang", "source")), materialize(estimates(good), "estimates"), "left")
     judged = judged.withColumn("distance", F.when(~F.col("base_failed"), F.round(_distance(), 6)))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= CUT, F.lit(True))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
