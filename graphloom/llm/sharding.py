@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-ROWS_EACH = 20_000
+ROWS_EACH = 4_000
 SEED = "graphloom"
 
 
