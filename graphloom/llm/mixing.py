@@ -140,7 +140,8 @@ def calibrated(docs: DataFrame, targets: dict[str, dict[str, float] | None] | No
     raked = rake(cells, targets or {}, temper, keep=keep).withColumn("multiplier", F.col("weight") / F.col("tokens"))
     empty = not cells.where("tokens > 0").take(1)
     all_cells = cells.select(*AXES).join(raked.select(*AXES, "weight", "multiplier", (F.col("kept") / F.col("tokens")).alias("p")), list(AXES), "left")
-    probability = F.lit(1.0) if empty else F.coalesce("p", F.lit(0.0))
+    # Cells that give all their tokens keep all documents, whatever the last digits of their factors.
+    probability = F.lit(1.0) if empty else F.coalesce(F.when(F.col("p") > 1 - 1e-9, F.lit(1.0)).otherwise(F.col("p")), F.lit(0.0))
     return rows, materialize(all_cells.withColumn("probability", probability).drop("p"), "multipliers")
 
 
