@@ -1,15 +1,18 @@
 """The HDT container (version 1, four-section dictionary, bitmap triples in SPO order) in NumPy.
 
-A file is decoded whole within one task: it is an interchange format, and many files make many tasks. Patterns are
-matched on integer ids; terms become strings for the matching rows only.
+A file is read by one task: it is an interchange format, and many files make many tasks. Patterns are matched on
+integer ids; constants are looked up by binary search over blocks, and only blocks with terms of matching rows are decoded.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLOCK = 16
 GLOBAL, HEADER, DICTIONARY, TRIPLES = 1, 2, 3, 4
@@ -180,31 +183,111 @@ class Reader:
         self.head_sum(start)
         return np.unpackbits(np.frombuffer(self.payload(-(-n // 8)), np.uint8), bitorder="little")[:n]
 
-    def strings(self) -> list[str]:
+    def strings(self) -> Section:
         start = self.at
         if self.take(1)[0] != 2:
             raise ValueError("unknown dictionary section type")
         n, size, block = self.number(), self.number(), self.number()
         self.head_sum(start)
-        self.array()
-        body = self.payload(size)
-        out, last, at = [], b"", 0
-        for i in range(n):
-            shared = 0
-            if i % block:
-                if at < size and body[at] > 127:  # the number is one byte
-                    shared, at = body[at] - 128, at + 1
-                else:
-                    number = Reader(body)
-                    number.at = at
-                    shared, at = number.number(), number.at
-            end = body.find(b"\0", at)
-            if end < 0 or shared > len(last):
+        starts = self.array()
+        return Section(n, block, starts, np.frombuffer(self.payload(size), np.uint8))
+
+
+def copy_runs(target: np.ndarray, to: np.ndarray, source: np.ndarray, start: np.ndarray, n: np.ndarray) -> None:
+    """target[to:to+n] = source[start:start+n] for each run, some 4 MB of runs (or one longer run) at a time."""
+    ends = np.cumsum(n)
+    a = 0
+    while a < len(n):
+        done = ends[a - 1] if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + (1 << 22), side="right")))
+        if b == a + 1:
+            target[to[a] : to[a] + n[a]] = source[start[a] : start[a] + n[a]]
+        else:
+            k = n[a:b]
+            at = np.arange(ends[b - 1] - done) - np.repeat(ends[a:b] - k - done, k)
+            target[np.repeat(to[a:b], k) + at] = source[np.repeat(start[a:b], k) + at]
+        a = b
+
+
+def _flat(terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of large strings or binaries, and where each value begins and the last one ends."""
+    if not len(terms):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
+    _, offsets, data = terms.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[terms.offset : terms.offset + len(terms) + 1]
+    return np.frombuffer(data if data is not None else b"", np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+class Section:
+    """A front-coded section in the order of bytes. Blocks are decoded on demand, all of a call side by side."""
+
+    def __init__(self, n: int, block: int, starts: np.ndarray, body: np.ndarray):
+        blocks = -(-n // block) if block else 0
+        if n and (not block or len(starts) < blocks or starts[0] or (np.diff(starts[:blocks]) <= 0).any() or starts[blocks - 1] >= len(body)):
+            raise ValueError("damaged dictionary section")
+        self.n, self.block, self.starts, self.body = n, block, starts[:blocks], body
+        self.ends = np.flatnonzero(body == 0)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def _numbers(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers that begin at these bytes, and the places after them."""
+        value, at, live, shift = np.zeros(len(at), np.int64), at.copy(), np.arange(len(at)), 0
+        while len(live):
+            if shift > 56 or at[live].max() >= len(self.body):
                 raise ValueError("damaged dictionary section")
-            last = last[:shared] + body[at:end]
-            at = end + 1
-            out.append(last.decode("utf-8"))
-        return out
+            x = self.body[at[live]]
+            value[live] |= (x & 127).astype(np.int64) << shift
+            at[live] += 1
+            live, shift = live[x < 128], shift + 7
+        return value, at
+
+    def terms(self, blocks: np.ndarray) -> pa.Array:
+        """The terms of these blocks, in their order."""
+        held = np.minimum(self.block, self.n - blocks * self.block)
+        first = np.cumsum(held) - held
+        shared, start, size = (np.zeros(int(held.sum()), np.int64) for _ in range(3))
+        at = self.starts[blocks]
+        rounds = []  # rows of the first, second, ... term of every block
+        for j in range(int(held.max(initial=0))):
+            live = np.flatnonzero(held > j)
+            row = first[live] + j
+            begin = at[live]
+            if j:
+                shared[row], begin = self._numbers(begin)
+            end = np.searchsorted(self.ends, begin)
+            if end.max() >= len(self.ends):
+                raise ValueError("damaged dictionary section")
+            start[row], size[row] = begin, self.ends[end] - begin
+            if j and (shared[row] > shared[row - 1] + size[row - 1]).any():
+                raise ValueError("damaged dictionary section")
+            at[live] = self.ends[end] + 1
+            rounds.append(row)
+        offsets = np.append(0, np.cumsum(shared + size))
+        out = np.empty(offsets[-1], np.uint8)
+        copy_runs(out, offsets[:-1] + shared, self.body, start, size)
+        for row in rounds[1:]:
+            copy_runs(out, offsets[row], out, offsets[row - 1], shared[row])
+        terms = pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(out))
+        terms.validate(full=True)
+        return terms
+
+    def at(self, i: int) -> bytes:
+        return self.terms(np.array([i // self.block]))[i % self.block].as_py().encode()
+
+    def find(self, term: str) -> int:
+        """The place of a term, from 0, or -1: blocks begin with whole terms, so one block is decoded."""
+        want = term.encode()
+
+        def head(i: int) -> bytes:
+            return self.body[self.starts[i] : self.ends[np.searchsorted(self.ends, self.starts[i])]].tobytes()
+
+        i = bisect_right(range(len(self.starts)), want, key=head) - 1
+        if i < 0:
+            return -1
+        held = self.terms(np.array([i])).to_pylist()
+        return i * self.block + held.index(term) if term in held else -1
 
 
 def control(kind: int, form: str, props: str = "") -> bytes:
@@ -225,49 +308,57 @@ def bitmap(bits: np.ndarray) -> bytes:
     return with_sums(b"\1" + vbyte(len(bits)), np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
 
 
-def shared_prefixes(terms: list[bytes]) -> list[int]:
-    """Bytes that each term has in common with the one before it."""
-    out, width, step = [], 128, 1 << 14
-    for a in range(0, len(terms), step):
-        part = terms[a : a + step]
-        head = np.array([terms[a - 1][:width] if a else b"", *(t[:width] for t in part)], dtype=f"S{width}").view(np.uint8).reshape(-1, width)
-        differ = head[1:] != head[:-1]
-        found = np.where(differ.any(axis=1), differ.argmax(axis=1), width).tolist()
-        for i, n in enumerate(found, a):
-            now, last = terms[i], terms[i - 1] if i else b""
-            end = min(len(now), len(last))
-            n = min(n, end)
-            while width <= n < end and now[n] == last[n]:
-                n += 1
-            out.append(n)
-    return out
-
-
-def strings(terms: list[bytes]) -> tuple[bytes, int]:
+def shared_prefixes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Bytes that each term has in common with the one before it, compared 32 at a time."""
+    width, step = 32, 1 << 16
+    size = np.diff(offsets)
+    out, most = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    most[1:] = np.minimum(size[1:], size[:-1])
+    windows = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(width, np.uint8)), width)
+    live = np.flatnonzero(most)
+    while len(live):
+        left = []
+        for a in range(0, len(live), step):
+            part = live[a : a + step]
+            differ = windows[offsets[part] + out[part]] != windows[offsets[part - 1] + out[part]]
+            same = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+            out[part] += same
+            left.append(part[(same == width) & (out[part] < most[part])])
+        live = np.concatenate(left)
+    return np.minimum(out, most)
+
+
+def strings(terms: pa.Array) -> tuple[bytes, int]:
     """A front-coded section, and the size of its buffer."""
-    pieces, starts, size = [], [], 0
-    counts = [vbyte(n) for n in range(256)]
-    for i, (t, n) in enumerate(zip(terms, shared_prefixes(terms))):
-        if i % BLOCK == 0:
-            starts.append(size)
-            piece = t + b"\0"
-        else:
-            piece = (counts[n] if n < 256 else vbyte(n)) + t[n:] + b"\0"
-        size += len(piece)
-        pieces.append(piece)
-    body = b"".join(pieces)
-    head = b"\2" + vbyte(len(terms)) + vbyte(size) + vbyte(BLOCK)
-    return head + bytes([crc8(head)]) + array([*starts, size]) + body + crc32c(body).to_bytes(4, "little"), size
+    data, offsets = _flat(terms)
+    shared = shared_prefixes(data, offsets)
+    shared[::BLOCK] = 0
+    inner = np.arange(len(shared)) % BLOCK != 0
+    digits = inner.astype(np.int64)
+    while (more := inner & (shared >> 7 * digits > 0)).any():
+        digits += more
+    length = digits + np.diff(offsets) - shared + 1
+    ends = np.cumsum(length)
+    size = int(ends[-1]) if len(ends) else 0
+    body = np.zeros(size, np.uint8)
+    for k in range(int(digits.max(initial=0))):
+        live = np.flatnonzero(digits > k)
+        body[(ends - length)[live] + k] = shared[live] >> 7 * k & 127 | np.where(digits[live] == k + 1, 128, 0)
+    copy_runs(body, ends - length + digits, data, offsets[:-1] + shared, np.diff(offsets) - shared)
+    head = b"\2" + vbyte(len(shared)) + vbyte(size) + vbyte(BLOCK)
+    starts = np.append((ends - length)[::BLOCK], size)
+    payload = body.tobytes()
+    return head + bytes([crc8(head)]) + array(starts) + payload + crc32c(payload).to_bytes(4, "little"), size
 
 
 @dataclass
 class Graph:
-    """A decoded file: dictionary sections and id columns, sorted by subject, predicate, object."""
+    """A file: dictionary sections, decoded as needed, and id columns, sorted by subject, predicate, object."""
 
-    shared: list[str]
-    subjects: list[str]
-    predicates: list[str]
-    objects: list[str]
+    shared: Section
+    subjects: Section
+    predicates: Section
+    objects: Section
     s: np.ndarray
     p: np.ndarray
     o: np.ndarray
@@ -285,29 +376,55 @@ class Graph:
 
     def subject_span(self) -> tuple[str, str] | None:
         """The least and the greatest subject, in the order of bytes."""
-        ends = [x for part in (self.shared, self.subjects) if part for x in (part[0], part[-1])]
-        return (min(ends, key=str.encode), max(ends, key=str.encode)) if ends else None
+        ends = [part.at(i) for part in (self.shared, self.subjects) if len(part) for i in (0, len(part) - 1)]
+        return (min(ends).decode(), max(ends).decode()) if ends else None
 
     def predicate_counts(self) -> dict[str, int]:
         n = np.bincount(self.p, minlength=len(self.predicates) + 1)[1:]
-        return {t: int(k) for t, k in zip(self.predicates, n)}
-
-    def search(self, fixed: dict[str, str]):
-        """Columns of terms of the triples that agree with the fixed positions (of s, p, o)."""
-        sections = {"s": (self.shared, self.subjects), "p": ([], self.predicates), "o": (self.shared, self.objects)}
+        return {t: int(k) for t, k in zip(self._terms("p", np.arange(len(n)))[0].to_pylist(), n)}
+
+    def _sections(self, k: str) -> list[Section]:
+        return {"s": [self.shared, self.subjects], "p": [self.predicates], "o": [self.shared, self.objects]}[k]
+
+    def _terms(self, k: str, ids: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Terms that hold all of these ids (from 0), and the place of each id among them."""
+        parts, places, before, base = [], np.empty(len(ids), np.int64), 0, 0
+        for section in self._sections(k):
+            mine = np.flatnonzero((ids >= base) & (ids < base + len(section)))
+            if len(mine):
+                own = ids[mine] - base
+                used = np.zeros(len(section.starts), dtype=bool)
+                used[own // section.block] = True
+                parts.append(section.terms(np.flatnonzero(used)))
+                places[mine] = before + (np.cumsum(used) - 1)[own // section.block] * section.block + own % section.block
+                before += len(parts[-1])
+            base += len(section)
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.large_string()), places
+
+    def _rows(self, fixed: dict[str, str]) -> np.ndarray:
         keep = np.ones(len(self.s), dtype=bool)
         for k, term in fixed.items():
-            first, second = sections[k]
-            i = next((base + 1 + part.index(term) for base, part in ((0, first), (len(first), second)) if term in part), 0)
-            if not i:
-                return [np.empty(0, dtype=object)] * 3
-            keep &= getattr(self, k) == i
-        out = []
-        for k, (first, second) in sections.items():
-            terms = np.empty(len(first) + len(second), dtype=object)
-            terms[:] = first + second
-            out.append(terms[getattr(self, k)[keep] - 1])
-        return out
+            found, base = 0, 1
+            for section in self._sections(k):
+                i = section.find(term)
+                found, base = found if i < 0 else base + i, base + len(section)
+            if not found:
+                return np.empty(0, np.int64)
+            keep &= getattr(self, k) == found
+        return np.flatnonzero(keep)
+
+    def search(self, fixed: dict[str, str]) -> list[np.ndarray]:
+        """Columns of terms, as strings, of the triples that agree with the fixed positions (of s, p, o)."""
+        rows = self._rows(fixed)
+        columns = (self._terms(k, getattr(self, k)[rows] - 1) for k in "spo")
+        return [terms.to_numpy(zero_copy_only=False)[places] for terms, places in columns]
+
+    def batches(self, fixed: dict[str, str], step: int) -> Iterator[list[pa.Array]]:
+        """The same as Arrow columns, some rows at a time; each term is decoded once."""
+        rows = self._rows(fixed)
+        columns = [self._terms(k, getattr(self, k)[rows] - 1) for k in "spo"]
+        for a in range(0, len(rows), step):
+            yield [terms.take(pa.array(places[a : a + step])) for terms, places in columns]
 
 
 def decode(data: bytes, verify: bool = True) -> Graph:
@@ -335,35 +452,38 @@ def decode(data: bytes, verify: bool = True) -> Graph:
     return Graph(shared, subjects, predicates, objects, subject[pair], y[pair], z)
 
 
-def _coded(column) -> tuple[np.ndarray, list[bytes]]:
+def _coded(column) -> tuple[np.ndarray, pa.Array]:
     """Codes of a column of terms, and its distinct terms in the order of their bytes."""
-    coded = pa.array(column, pa.large_string()).dictionary_encode()
-    terms = coded.dictionary.cast(pa.large_binary()).to_pylist()
-    order = sorted(range(len(terms)), key=terms.__getitem__)
+    coded = (column if isinstance(column, pa.Array) else pa.array(column, pa.large_string())).dictionary_encode()
+    terms = coded.dictionary.cast(pa.large_binary())
+    order = pc.sort_indices(terms).to_numpy()
     rank = np.empty(len(terms), dtype=np.int64)
     rank[order] = np.arange(len(terms))
-    return rank[coded.indices.to_numpy(zero_copy_only=False)], [terms[i] for i in order]
+    return rank[coded.indices.to_numpy(zero_copy_only=False)], terms.take(pa.array(order))
 
 
-def _ids(terms: list[bytes], shared: set[bytes]) -> tuple[np.ndarray, list[bytes]]:
-    """Ids of sorted terms where the shared ones come first, and the terms that are not shared."""
-    first = np.fromiter((t in shared for t in terms), dtype=bool, count=len(terms))
-    ids = np.where(first, np.cumsum(first), first.sum() + np.cumsum(~first))
-    return ids, [t for t, f in zip(terms, first) if not f]
+def _ids(terms: pa.Array, others: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of sorted terms where those among the others come first, and which ones these are."""
+    first = pc.is_in(terms, value_set=others).to_numpy(zero_copy_only=False)
+    return np.where(first, np.cumsum(first), first.sum() + np.cumsum(~first)), first
 
 
 def encode(triples) -> bytes:
     """A file of a set of triples of canonical terms; ValueError for none, or for a term with NUL."""
     columns = list(zip(*triples))
-    if not columns:
+    return encode_columns(*columns or ([], [], []))
+
+
+def encode_columns(s, p, o) -> bytes:
+    """The same for columns of terms: sequences of strings, or Arrow arrays of large strings."""
+    if not len(s):
         raise ValueError("a graph without triples cannot be written")
-    (s, subjects), (p, predicates), (o, objects) = map(_coded, columns)
-    if any(b"\0" in t for part in (subjects, predicates, objects) for t in part):
+    (s, subjects), (p, predicates), (o, objects) = map(_coded, (s, p, o))
+    if any((_flat(part)[0] == 0).any() for part in (subjects, predicates, objects)):
         raise ValueError("a term with U+0000 cannot be written")
-    shared = set(subjects) & set(objects)
-    sid, own_subjects = _ids(subjects, shared)
-    oid, own_objects = _ids(objects, shared)
-    parts = [[t for t in subjects if t in shared], own_subjects, predicates, own_objects]
+    sid, both = _ids(subjects, objects)
+    oid, known = _ids(objects, subjects)
+    parts = [subjects.filter(pa.array(both)), subjects.filter(pa.array(~both)), predicates, objects.filter(pa.array(~known))]
     s, p, o = sid[s], p + 1, oid[o]
     order = np.lexsort((o, p, s))
     s, p, o = s[order], p[order], o[order]

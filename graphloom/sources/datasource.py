@@ -22,6 +22,7 @@ from . import codec, turtle
 
 SCHEMA = "g string, s string, p string, o string"
 _ARROW = pa.schema([(c, pa.string()) for c in "gspo"])
+_TERMS = pa.schema([(c, pa.large_string()) for c in "spo"])
 _BATCH = 1 << 16
 
 
@@ -71,16 +72,15 @@ class _Reader(DataSourceReader):
     def partitions(self):
         return self.files
 
-    def batches(self, graph: str, columns) -> Iterator[pa.RecordBatch]:
-        s, p, o = columns
-        for a in range(0, len(s), _BATCH):
-            n = len(s[a : a + _BATCH])
-            yield pa.RecordBatch.from_arrays([pa.array([graph] * n, pa.string()), *(pa.array(x[a : a + _BATCH], pa.string()) for x in (s, p, o))], schema=_ARROW)
+    def batch(self, graph: str, columns) -> pa.RecordBatch:
+        named = pa.repeat(pa.scalar(graph, pa.string()), len(columns[0]))
+        return pa.RecordBatch.from_arrays([named, *(x.cast(pa.string()) if isinstance(x, pa.Array) else pa.array(x, pa.string()) for x in columns)], schema=_ARROW)
 
 
 class HdtReader(_Reader):
     def read(self, partition: File):
-        yield from self.batches(partition.graph, codec.decode(read_bytes(partition.path), self.verify).search(self.fixed))
+        for columns in codec.decode(read_bytes(partition.path), self.verify).batches(self.fixed, _BATCH):
+            yield self.batch(partition.graph, columns)
 
 
 class TurtleReader(_Reader):
@@ -90,10 +90,10 @@ class TurtleReader(_Reader):
             if all(t["spo".index(k)] == v for k, v in self.fixed.items()):
                 rows.append(t)
             if len(rows) == _BATCH:
-                yield from self.batches(partition.graph, tuple(zip(*rows)))
+                yield self.batch(partition.graph, tuple(zip(*rows)))
                 rows = []
         if rows:
-            yield from self.batches(partition.graph, tuple(zip(*rows)))
+            yield self.batch(partition.graph, tuple(zip(*rows)))
 
 
 @dataclass
@@ -108,17 +108,19 @@ class Writer(DataSourceArrowWriter):
         self.folder, self.overwrite, self.suffix = folder, overwrite, suffix
 
     def write(self, iterator):
-        triples = set()
-        for batch in iterator:
-            triples.update(zip(*(batch.column(c).to_pylist() for c in "spo")))
-        if not triples:
+        batches = [batch.select(list("spo")).cast(_TERMS) for batch in iterator]
+        columns = [pa.chunked_array([x.column(c) for x in batches], pa.large_string()).combine_chunks() for c in "spo"]
+        if not len(columns[0]):
             return Written(None)
         path = f"{self.folder}/part-{uuid.uuid4().hex}{self.suffix}"
         if "://" not in path:
             os.makedirs(self.folder, exist_ok=True)
-        write_bytes(path, codec.encode(triples) if self.suffix == ".hdt" else "".join(turtle.serialize(sorted(triples))).encode("utf-8"))
+        write_bytes(path, codec.encode_columns(*columns) if self.suffix == ".hdt" else self.turtle(columns))
         return Written(path)
 
+    def turtle(self, columns: list[pa.Array]) -> bytes:
+        return "".join(turtle.serialize(sorted(set(zip(*(x.to_pylist() for x in columns)))))).encode("utf-8")
+
     def files(self):
         from pyarrow import fs
 

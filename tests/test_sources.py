@@ -1,5 +1,8 @@
+import os
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import graphloom
@@ -57,6 +60,45 @@ def test_codec_round_trip_and_patterns():
         assert codec.Reader(codec.vbyte(k)).number() == k
 
 
+def _section(terms):
+    body, _ = codec.strings(pa.array(terms, pa.large_binary()))
+    return codec.Reader(body).strings()
+
+
+@pytest.mark.parametrize("long", [1, 120, 127, 128, 129, 16383, 16384, 40000])
+def test_sections_of_long_prefixes(long):
+    r = random.Random(long)
+    terms = sorted({("é" * (long // 2) + "x" * (long % 2) + r.choice(["", "a", "ab"]) + str(r.randrange(90))).encode() for _ in range(70)} | {b"", b"a", b"zz"})
+    g = _section(terms)
+    assert len(g) == len(terms) and [g.at(i) for i in range(len(terms))] == terms
+    assert g.terms(np.array([0, 2])).to_pylist() == [t.decode() for t in (*terms[:16], *terms[32:48])]
+    assert [g.find(t.decode()) for t in terms] == list(range(len(terms)))
+    assert all(g.find(t.decode() + "!") == -1 for t in terms) and g.find("zzz") == -1
+    shared, offsets = [len(os.path.commonprefix(pair)) for pair in zip(terms, terms[1:])], np.cumsum([0, *map(len, terms)])
+    assert codec.shared_prefixes(np.frombuffer(b"".join(terms), np.uint8), offsets).tolist() == [0, *shared]
+
+
+def test_sections_empty_and_damaged():
+    g = _section([])
+    assert len(g) == 0 and g.find("a") == -1
+    starts, body = np.array([0, 4]), np.frombuffer(b"abc\0\x84d\0", np.uint8)  # shares 4 bytes of 3
+    with pytest.raises(ValueError):
+        codec.Section(2, 16, starts, body).terms(np.array([0]))
+    for n, block, at, held in ((2, 0, [0], body), (20, 16, [0], body), (1, 16, [3], body), (17, 16, [0, 99], body), (17, 16, [0, 0], body), (9, 16, [0], body), (1, 16, [0], body[:2]), (1, 16, [0], np.frombuffer(b"\xff\0", np.uint8))):
+        with pytest.raises(ValueError):
+            section = codec.Section(n, block, np.array(at), held)
+            section.terms(np.arange(len(section.starts)))
+
+
+def test_constant_decodes_one_block(monkeypatch):
+    g = codec.decode(codec.encode([(f"u:s{i:04}", "u:p", f'"{i}"') for i in range(2000)]))
+    seen, terms = [], codec.Section.terms
+    monkeypatch.setattr(codec.Section, "terms", lambda self, blocks: (seen.append(len(blocks)), terms(self, blocks))[1])
+    assert list(zip(*g.search({"s": "u:s0777"}))) == [("u:s0777", "u:p", '"777"')] and max(seen) == 1
+    seen.clear()
+    assert not len(g.search({"s": "u:none"})[0]) and sum(seen) <= 1
+
+
 def test_damage():
     data = codec.encode([("u:a", "u:p", f'"{i}"') for i in range(50)])
     for bad in (b"", data[:4], data[:-1], b"x" * 99, data[:-6] + b"\xff\xff" + data[-4:]):
